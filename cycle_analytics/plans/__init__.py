@@ -1,6 +1,6 @@
 """Reports and restore plans composed from the operators, and the query registry."""
 
-from cycle_analytics.plans import time_queries
+from cycle_analytics.plans import integrity_queries, table_queries, time_queries
 from cycle_analytics.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "time_queries"]
+__all__ = ["ORACLES", "QUERIES", "integrity_queries", "table_queries", "time_queries"]

@@ -1,10 +1,8 @@
-"""Declared schemas of every input. CSV and JSON inputs are never inferred."""
+"""Declared schemas of every input, as DDL text. CSV and JSON inputs are never inferred."""
 
-from pyspark.sql.types import StructType
 
-
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 BACKUP = _ddl(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cycle_analytics import schemas
 from cycle_analytics.functions.clock import local_from_millis, on_date, wall_clock
@@ -12,7 +11,7 @@ from cycle_analytics.functions.clock import local_from_millis, on_date, wall_clo
 MISSING = "-"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """CSV with a header line; blanks are NULL and padding is dropped."""
     return (
         spark.read.schema(schema).option("header", True).option("enforceSchema", True)
@@ -36,7 +35,7 @@ def workflow_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.WORKFLOW).withColumn("ended_at", wall_clock(F.col("timestamp")))
 
 
-def snapshots(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_csv(spark, path, schema).withColumn("ts", wall_clock(F.col("timestamp"))).drop("timestamp")
 
 
@@ -56,7 +55,7 @@ def _metric(spark: SparkSession, path: str | list[str], dims: list[str]) -> Data
     into today's date.
     """
     ddl = ", ".join(f"`{c}` string" for c in ["clock", *dims, "anomaly", "annotations"])
-    df = read_csv(spark, path, StructType.fromDDL(ddl))
+    df = read_csv(spark, path, ddl)
     name = F.col("_metadata.file_name")
     return df.withColumns(
         {

@@ -66,7 +66,7 @@ def main(argv: list[str]) -> int:
         root = argv[at + 1]
         del argv[at : at + 2]
     spark = build_session(
-        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = database(root), contract.oracle_sql(), 0
