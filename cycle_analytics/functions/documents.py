@@ -29,35 +29,41 @@ def _is_number(kind: Column) -> Column:
     return (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT")
 
 
+def _evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters cannot inline, so a costly value is computed once per row."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def parsed_requests(df: DataFrame, body: str, default_dest: str, cloud_alias: bool = False) -> DataFrame:
     """Validate request documents in a JSON text column.
 
     Adds version, chain_n, source, send, dest_root and error_reason (NULL when valid).
-    `cloud_alias` reads the source name `cloud` as `general`.
+    `cloud_alias` reads the source name `cloud` as `general`. The document is parsed once;
+    each step below reads the columns of the step before.
     """
-    doc = df.withColumn("_doc", F.try_parse_json(F.col(body)))
-
-    def text(name: str) -> Column:
-        return F.try_variant_get(F.col("_doc"), f"$.{name}", "string")
-
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.col("_doc"), f"$.{name}", "variant"))
-
-    def falsy(name: str) -> Column:
-        k, t = kind(name), text(name)
-        return (
-            k.isNull() | (k == "VOID") | ((k == "STRING") & (t == ""))
-            | ((k == "BOOLEAN") & (t == "false")) | (_is_number(k) & (t.try_cast("double") == 0))
-        )
-
-    use_alias = falsy("version")
-    version = F.when(use_alias, text("chain_v")).otherwise(text("version"))
-    version_kind = F.when(use_alias, kind("chain_v")).otherwise(kind("version"))
-    version_ok = F.coalesce((version_kind == "STRING") & (F.trim(version) != ""), F.lit(False))
-
+    fields = ["version", "chain_v", "chain", "source", "send_to_vm1", "vm1_dest_root"]
+    doc = _evaluated(df, {"_doc": F.try_parse_json(F.col(body))})
+    parts = {f: F.try_variant_get(F.col("_doc"), f"$.{f}", "variant") for f in fields}
+    typed = {f"_k_{f}": F.schema_of_variant(v) for f, v in parts.items()}
+    texts = {f"_t_{f}": F.try_variant_get(v, "$", "string") for f, v in parts.items()}
+    read = _evaluated(doc, {**typed, **texts, "_broken": F.col("_doc").isNull()})
+
+    def kind(field: str) -> Column:
+        return F.col(f"_k_{field}")
+
+    def text(field: str) -> Column:
+        return F.col(f"_t_{field}")
+
+    falsy = (
+        kind("version").isNull() | (kind("version") == "VOID")
+        | ((kind("version") == "STRING") & (text("version") == ""))
+        | ((kind("version") == "BOOLEAN") & (text("version") == "false"))
+        | (_is_number(kind("version")) & (text("version").try_cast("double") == 0))
+    )
     chain_kind, chain_text = kind("chain"), text("chain")
     chain_n = (
-        F.when(chain_kind == "BOOLEAN", F.when(chain_text == "true", 1).otherwise(0).cast("bigint"))
+        F.when(chain_kind == "BOOLEAN", (chain_text == "true").cast("bigint"))
         .when(_is_number(chain_kind), chain_text.try_cast("double").try_cast("bigint"))
         .when(
             (chain_kind == "STRING") & chain_text.rlike(_INTEGER),
@@ -65,30 +71,33 @@ def parsed_requests(df: DataFrame, body: str, default_dest: str, cloud_alias: bo
         )
     )
     source = F.when(kind("source").isNull(), F.lit("local")).otherwise(text("source"))
-    source_ok = kind("source").isNull() | ((kind("source") == "STRING") & source.isin(SOURCES))
     if cloud_alias:
-        source = F.when(source == "cloud", "general").otherwise(source)
-        source_ok = source_ok | ((kind("source") == "STRING") & (source == "general"))
-    dest = F.when((kind("vm1_dest_root") == "STRING") & (F.trim(text("vm1_dest_root")) != ""), F.trim(text("vm1_dest_root")))
-
-    reason = (
-        F.when(F.col("_doc").isNull(), "parse_error")
-        .when(~version_ok, "missing_version")
-        .when(chain_kind.isNull() | (chain_kind == "VOID"), "missing_chain")
-        .when(chain_n.isNull(), "chain_not_integer")
-        .when(chain_n < 1, "chain_below_one")
-        .when(~F.coalesce(source_ok, F.lit(False)), "invalid_source")
-    )
-    return doc.withColumns(
+        source = F.when(text("source") == "cloud", "general").otherwise(source)
+    source_text = kind("source").isNull() | (kind("source") == "STRING")
+    dest_ok = (kind("vm1_dest_root") == "STRING") & (F.trim(text("vm1_dest_root")) != "")
+    derived = read.withColumns(
         {
-            "error_reason": reason,
-            "version": F.when(version_ok, F.trim(version)),
+            "_name": F.when(falsy, text("chain_v")).otherwise(text("version")),
+            "_name_kind": F.when(falsy, kind("chain_v")).otherwise(kind("version")),
             "chain_n": chain_n,
             "source": source,
+            "_source_text": source_text,
             "send": loose_boolean(text("send_to_vm1"), kind("send_to_vm1")),
-            "dest_root": F.coalesce(dest, F.lit(default_dest)),
+            "dest_root": F.when(dest_ok, F.trim(text("vm1_dest_root"))).otherwise(F.lit(default_dest)),
         }
-    ).drop("_doc")
+    )
+    name = F.when((F.col("_name_kind") == "STRING") & (F.trim("_name") != ""), F.trim("_name"))
+    named = derived.withColumn("version", name)
+    reason = (
+        F.when(F.col("_broken"), "parse_error")
+        .when(F.col("version").isNull(), "missing_version")
+        .when(chain_kind.isNull() | (chain_kind == "VOID"), "missing_chain")
+        .when(F.col("chain_n").isNull(), "chain_not_integer")
+        .when(F.col("chain_n") < 1, "chain_below_one")
+        .when(~F.coalesce(F.col("_source_text") & F.col("source").isin(SOURCES), F.lit(False)), "invalid_source")
+    )
+    out = named.withColumn("error_reason", reason)
+    return out.select(*df.columns, "error_reason", "version", "chain_n", "source", "send", "dest_root")
 
 
 def map_total(sizes: Column) -> Column:

@@ -124,8 +124,9 @@ def offenders(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFr
             for name, (recorded, computed) in checks.items()
         ]
     )
+    kept = [c for c in df.columns if c not in ("check", "recorded", "computed")]
     return df.withColumn("_f", F.explode(F.filter(findings, lambda x: x.isNotNull()))).select(
-        *df.columns, "_f.check", "_f.recorded", "_f.computed"
+        *kept, "_f.check", "_f.recorded", "_f.computed"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cycle_analytics.functions.derive import busy_percent, pair_mean
+from cycle_analytics.operators.asof import asof_peak
 from cycle_analytics.operators.ordered import number, previous, running, total
 
 
@@ -29,15 +30,33 @@ def nth_rows(
 def oldest_n(
     cycles: DataFrame, requests: DataFrame, chain: str, cycle_id: str, n: str, split: bool | None = None
 ) -> DataFrame:
-    """The first `n` cycles of each requested chain in id order, with their replay order."""
-    asked = cycles.join(requests.select(chain).distinct(), chain, "left_semi")
-    ordered = numbered(asked, [chain], [cycle_id], "replay_order", split)
-    return ordered.join(requests, chain).where(F.col("replay_order") <= F.col(n))
+    """The first `n` cycles of each requested chain in id order, with their replay order.
 
+    Adds `available` and `selected`. A request becomes one row per position it takes, so the
+    join is on (chain, position) and forms no pair beyond the result.
+    """
+    counts = cycles.groupBy(chain).agg(F.count(F.lit(1)).alias("available"))
+    sized = requests.join(counts, chain).withColumn("selected", F.least(F.col(n).cast("bigint"), F.col("available")))
+    return _positions(sized, cycles, chain, cycle_id, "selected", split)
 
-def replay_prefix(cycles: DataFrame, targets: DataFrame, chain: str, cycle_id: str, target: str) -> DataFrame:
-    """All cycles of a chain up to and including its target id."""
-    return cycles.join(targets, chain).where(F.col(cycle_id) <= F.col(target))
+
+def replay_prefix(
+    cycles: DataFrame, targets: DataFrame, chain: str, cycle_id: str, target: str, split: bool | None = None
+) -> DataFrame:
+    """All cycles of a chain up to and including its target id, in replay order."""
+    places = numbered(cycles.select(chain, cycle_id), [chain], [cycle_id], "_place", split)
+    reach = asof_peak(places, targets, cycle_id, target, {"_last": F.col("_place")}, [chain], split)
+    return _positions(reach.where("_last is not null"), cycles, chain, cycle_id, "_last", split).drop("_last")
+
+
+def _positions(
+    wanted: DataFrame, cycles: DataFrame, chain: str, cycle_id: str, upto: str, split: bool | None
+) -> DataFrame:
+    """Positions 1..`upto` of each wanted row, met with the numbered cycles."""
+    places = wanted.where(F.col(upto) >= 1).withColumn(
+        "replay_order", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(upto)))
+    )
+    return numbered(cycles, [chain], [cycle_id], "replay_order", split).join(places, [chain, "replay_order"])
 
 
 def cumulative(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, split: bool | None = None) -> DataFrame:

@@ -365,8 +365,8 @@ def catalog_reconciliation(spark, root):
 
 
 @query(
-    """WITH l AS (SELECT conv_id, TIMESTAMP '2026-06-20 01:00:00' + to_seconds(CAST(conv_id * 100 + turn * 7 AS BIGINT)) AS at, role FROM conversations),
-       p AS (SELECT conv_id, min(at) FILTER (role = 'user') AS started_at, max(at) FILTER (role = 'assistant') AS ended_at FROM l WHERE role IN ('user', 'assistant') GROUP BY 1)
+    """WITH l AS (SELECT conv_id, TIMESTAMP '2026-06-20 01:00:00' + to_seconds(CAST(conv_id * 100 + turn * 7 AS BIGINT)) AS said_at, role FROM conversations),
+       p AS (SELECT conv_id, min(said_at) FILTER (role = 'user') AS started_at, max(said_at) FILTER (role = 'assistant') AS ended_at FROM l WHERE role IN ('user', 'assistant') GROUP BY 1)
        SELECT 'chain-v' || (conv_id % 3 + 1) AS chain_v, CAST(conv_id AS VARCHAR) AS cycle_id, started_at, ended_at,
          (epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0::DOUBLE AS seconds FROM p"""
 )

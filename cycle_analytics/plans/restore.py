@@ -10,6 +10,7 @@ from cycle_analytics.functions.clock import instant
 from cycle_analytics.operators import integrity, sequence
 from cycle_analytics.operators.asof import latest_before
 from cycle_analytics.operators.ledger import valid_catalog
+from cycle_analytics.sources.sinks import append_csv, replace_partitions
 
 IDENTITY = ["chain_v", "cycle_id", "rel_path", "chunk_no"]
 
@@ -20,9 +21,7 @@ def restore_plan(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     No artifact is read: the catalog alone decides. A request takes the oldest cycles of its chain.
     """
     cycles = catalog.select(F.col("chain_v").alias("version"), "cycle_id").where(F.length("cycle_id") > 0)
-    available = cycles.groupBy("version").agg(F.count(F.lit(1)).alias("available"))
-    chosen = sequence.oldest_n(cycles, requests, "version", "cycle_id", "chain_n")
-    return chosen.join(available, "version").withColumn("selected", F.least("chain_n", "available"))
+    return sequence.oldest_n(cycles, requests, "version", "cycle_id", "chain_n")
 
 
 def point_in_time_plan(catalog: DataFrame, targets: DataFrame) -> DataFrame:
@@ -88,21 +87,17 @@ def restore_pass(plan: DataFrame, artifacts: DataFrame, ring: DataFrame, staging
     judged = deliverable(plan, package_verdicts(opened))
     delivered = judged.where("prefix_ok").select(F.col("version").alias("chain_v"), "cycle_id").distinct()
     chunks = opened.join(delivered, ["chain_v", "cycle_id"], "left_semi").select(*IDENTITY, "content")
-    staged(chunks, staging)
-    judged.where("prefix_ok").select(
+    replace_partitions(chunks, staging, ["chain_v", "cycle_id"])
+    rows = judged.where("prefix_ok").select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         F.lit("restore").alias("workflow_type"), F.col("version").alias("chain_v"), "cycle_id",
         F.col("package_bytes").alias("raw_size_bytes"), F.col("encrypted_bytes").alias("encrypted_size_bytes"),
-    ).write.mode("append").parquet(telemetry)
-    return judged
-
-
-def staged(chunks: DataFrame, path: str) -> None:
-    """Write chunk rows by chain and cycle, replacing only the cycles that come along."""
-    (
-        chunks.hint("rebalance", "chain_v", "cycle_id").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("chain_v", "cycle_id").parquet(path)
+        *[F.lit(None).cast("double").alias(c) for c in (
+            "duration_aes256_sec", "duration_cloud_transfer_sec", "duration_vm1_transfer_sec", "total_workflow_sec"
+        )],
     )
+    append_csv(rows, telemetry)
+    return judged
 
 
 def integrity_report(opened: DataFrame, verdicts: DataFrame, done: DataFrame, catalog: DataFrame) -> DataFrame:

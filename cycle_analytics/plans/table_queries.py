@@ -174,8 +174,8 @@ def total_audit(spark, root):
         UNION ALL SELECT o_orderkey, 'line_count', last_line::DOUBLE, n_lines::DOUBLE FROM a WHERE last_line <> n_lines"""
 )
 def audit_offenders(spark, root):
-    return integrity.offenders(_audited(spark, root), _checks()).select("o_orderkey", "check", F.col("recorded").alias("_r"), "computed").withColumnRenamed(
-        "_r", "recorded"
+    return integrity.offenders(_audited(spark, root), _checks()).select(
+        "o_orderkey", "check", "recorded", "computed"
     )
 
 
@@ -185,8 +185,9 @@ def audit_offenders(spark, root):
          UNION ALL SELECT year, 'price', 'mebibytes', l_extendedprice FROM x
          UNION ALL SELECT year, 'discount', 'percent', l_discount FROM x UNION ALL SELECT year, 'tax', 'ratio', l_tax FROM x),
        s AS (SELECT year, dim, CASE unit WHEN 'packets per second' THEN 'K packets/s' WHEN 'mebibytes' THEN 'GiBy' WHEN 'percent' THEN '%' ELSE unit END AS shown_unit,
-         round(value / CASE unit WHEN 'packets per second' THEN 1000.0 WHEN 'mebibytes' THEN 1024.0 ELSE 1.0 END::DOUBLE, 4) AS v FROM u)
-       SELECT CAST(year AS BIGINT) AS year, dim, shown_unit, count(*) AS n, max(v) AS max_value, round(avg(v), 6) AS avg_value FROM s GROUP BY ALL"""
+         round(value / CASE unit WHEN 'packets per second' THEN 1000.0 WHEN 'mebibytes' THEN 1024.0 ELSE 1.0 END::DOUBLE, 4) AS v, value FROM u)
+       SELECT CAST(year AS BIGINT) AS year, dim, shown_unit, count(*) AS n, max(v) AS max_value,
+         CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum_cents FROM s GROUP BY ALL"""
 )
 def wide_to_long(spark, root):
     lines = table(spark, root, "lineitem").select(
@@ -197,7 +198,8 @@ def wide_to_long(spark, root):
     long = reshape.wide_to_long(lines, ["year"], dims, units)
     shown = reshape.shown(long, reshape.unit_table(spark))
     return shown.groupBy("year", "dim", "shown_unit").agg(
-        F.count(F.lit(1)).alias("n"), F.max("shown_value").alias("max_value"), F.round(F.avg("shown_value"), 6).alias("avg_value")
+        F.count(F.lit(1)).alias("n"), F.max("shown_value").alias("max_value"),
+        F.sum(cents("value")).alias("sum_cents"),
     )
 
 

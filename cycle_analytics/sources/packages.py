@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cycle_analytics import schemas
@@ -13,16 +13,18 @@ from cycle_analytics.operators.integrity import CHECKSUM_FILE, MANIFEST_FILE, ch
 _PLACE = r"/([^/]+)/([^/]+)/(.+)$"
 
 
-def _placed(df: DataFrame, root: str, path: Column) -> DataFrame:
-    """chain, cycle and relative path from a path below `root`; dot folders do not count."""
-    tail = F.regexp_replace(path, r"^[a-z0-9]+:/*", "/")
-    below = F.substring_index(tail, root.rstrip("/").split(":")[-1].lstrip("/") + "/", -1)
-    parts = F.concat(F.lit("/"), below)
+def placed_files(df: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """chain, cycle and relative path from a path below `root`.
+
+    Folders may be plain or named key=value; dot folders do not count.
+    """
+    anchor = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
+    below = F.concat(F.lit("/"), F.substring_index(F.col(path), anchor, -1))
     keyed = df.withColumns(
         {
-            "chain_v": F.regexp_extract(parts, _PLACE, 1),
-            "cycle_id": F.regexp_extract(parts, _PLACE, 2),
-            "rel_path": F.regexp_extract(parts, _PLACE, 3),
+            "chain_v": F.regexp_replace(F.regexp_extract(below, _PLACE, 1), "^chain_v=", ""),
+            "cycle_id": F.regexp_replace(F.regexp_extract(below, _PLACE, 2), "^cycle_id=", ""),
+            "rel_path": F.regexp_extract(below, _PLACE, 3),
         }
     )
     return keyed.where((F.col("chain_v") != "") & ~F.col("chain_v").startswith(".") & ~F.col("cycle_id").startswith("."))
@@ -31,7 +33,7 @@ def _placed(df: DataFrame, root: str, path: Column) -> DataFrame:
 def files(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """All files below <root>/<chain>/<cycle>/, with digest; without content only sizes are read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    placed = _placed(df, root, F.col("path"))
+    placed = placed_files(df, root)
     columns = ["chain_v", "cycle_id", "rel_path", F.col("length").alias("bytes")]
     if with_content:
         columns += ["content", content_digest(F.col("content")).alias("actual_sha256")]
@@ -51,7 +53,7 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
         spark.read.schema(schemas.MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
         .option("pathGlobFilter", MANIFEST_FILE).json(root)
     )
-    placed = _placed(df.withColumn("_path", F.col("_metadata.file_path")), root, F.col("_path"))
+    placed = placed_files(df.withColumn("_path", F.col("_metadata.file_path")), root, "_path")
     summary = manifest_summary(
         {name: F.col(name) for name in ("chain_version", "pg_last_lsn", "mongo_last_ts")},
         {name: F.col(name).isNotNull() for name in COMPONENTS},
@@ -71,18 +73,20 @@ def manifest_stamps(manifest_df: DataFrame, zone: str = DEFAULT_ZONE) -> DataFra
 def checksum_lists(spark: SparkSession, root: str) -> DataFrame:
     """Expected digests of all packages."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CHECKSUM_FILE).text(root)
-    placed = _placed(df.withColumn("_path", F.col("_metadata.file_path")), root, F.col("_path"))
+    placed = placed_files(df.withColumn("_path", F.col("_metadata.file_path")), root, "_path")
     return checksum_lines(placed.select("chain_v", "cycle_id", "value")).select(
         "chain_v", "cycle_id", "rel_path", "expected_sha256"
     )
 
 
-def catalog_documents(spark: SparkSession, root: str, chain: str | None = None) -> DataFrame:
+def catalog_documents(
+    spark: SparkSession, root: str, chain: str | None = None, pattern: str = "*.meta.json", multi_line: bool = True
+) -> DataFrame:
     """Metadata documents of a local or object-store root; unparseable ones are skipped."""
     path = f"{root.rstrip('/')}/{chain}" if chain else root
     return (
-        spark.read.schema(schemas.CATALOG).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.meta.json").json(path).where(F.length("cycle_id") > 0)
+        spark.read.schema(schemas.CATALOG).option("multiLine", multi_line).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).json(path).where(F.length("cycle_id") > 0)
     )
 
 
