@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto, documents, text
@@ -229,13 +231,14 @@ def request_bodies(spark, root):
     """One request document per order."""
     orders = table(spark, root, "orders")
     c, n = (F.col("o_orderkey") % 3 + 1).cast("string"), (F.col("o_orderkey") % 9 + 1).cast("string")
-    filled = []
-    for body in REQUEST_BODIES:
-        plain = body.replace("{{", "\0").replace("}}", "\1")
-        value = F.lit(plain.replace("\0", "{").replace("\1", "}").replace("{c}", "\2").replace("{n}", "\3"))
-        filled.append(F.replace(F.replace(value, F.lit("\2"), c), F.lit("\3"), n))
-    kind = (F.col("o_orderkey") % len(REQUEST_BODIES) + 1).cast("int")
-    return orders.select(F.col("o_orderkey").alias("request_id"), "o_custkey", F.element_at(F.array(*filled), kind).alias("body"))
+    text_of = None
+    for remainder, body in enumerate(REQUEST_BODIES):
+        pieces = re.split(r"(\{\{|\}\}|\{c\}|\{n\})", body)
+        marks = {"{{": F.lit("{"), "}}": F.lit("}"), "{c}": c, "{n}": n}
+        value = F.concat(*[marks.get(piece, F.lit(piece)) for piece in pieces if piece])
+        is_kind = F.col("o_orderkey") % len(REQUEST_BODIES) == remainder
+        text_of = F.when(is_kind, value) if text_of is None else text_of.when(is_kind, value)
+    return orders.select(F.col("o_orderkey").alias("request_id"), "o_custkey", text_of.alias("body"))
 
 
 def _request_case(values: dict[int, str], default: str) -> str:

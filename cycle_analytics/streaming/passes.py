@@ -25,9 +25,11 @@ POLL_INTERVAL = "15 seconds"
 STORED = "stored"
 
 TABLES = {
-    "content": "chain_v string, cycle_id string, rel_path string, chunk_no int, chunk binary",
+    "content": "chain_v string, cycle_id string, rel_path string, bytes bigint, actual_sha256 string, "
+    "chunk_no int, chunk binary",
     "inventory": "chain_v string, cycle_id string, rel_path string, bytes bigint, actual_sha256 string",
     "lists": "chain_v string, cycle_id string, rel_path string, expected_sha256 string",
+    "ready": "chain_v string, cycle_id string",
     "artifacts": "chain_v string, cycle_id string, rel_path string, chunk_no int, plain_bytes int, "
     "plain_sha256 string, key_id string, artifact binary",
     "catalog": "alg string, chain_v string, cycle_id string, created_at timestamp, n_chunks bigint, "
@@ -48,16 +50,14 @@ def list_lines(files: DataFrame) -> DataFrame:
 
 
 def add_arrivals(store: Store, files: DataFrame, lines: DataFrame, batch_id: int, chunk_bytes: int) -> None:
-    """Keep contents as chunks, and digests and list entries beside them."""
-    rows = files.select(*KEY, "rel_path", "content")
-    store.write(chunks.chunked(rows, "content", chunk_bytes), "content", batch_id)
-    store.write(
-        rows.select(
-            *KEY, "rel_path", F.length("content").cast("bigint").alias("bytes"),
-            integrity.content_digest(F.col("content")).alias("actual_sha256"),
-        ),
-        "inventory", batch_id,
+    """Keep contents as chunks; the arrived files are read once, all else comes from the written rows."""
+    hashed = files.select(
+        *KEY, "rel_path", "content", F.length("content").cast("bigint").alias("bytes"),
+        integrity.content_digest(F.col("content")).alias("actual_sha256"),
     )
+    store.write(chunks.chunked(hashed, "content", chunk_bytes), "content", batch_id)
+    first = store.only("content", batch_id).where("chunk_no = 0")
+    store.write(first.select(*KEY, "rel_path", "bytes", "actual_sha256"), "inventory", batch_id)
     store.write(
         integrity.checksum_lines(lines).select(*KEY, "rel_path", "expected_sha256"), "lists", batch_id
     )
@@ -83,12 +83,11 @@ def ready_cycles(store: Store, batch_id: int) -> DataFrame:
 def seal(store: Store, cycles: DataFrame, ring: DataFrame, batch_id: int) -> None:
     """Encrypt the chunks of ready cycles and catalogue the bytes as written."""
     rows = store.read("content").where(F.col("batch") <= batch_id).join(cycles, KEY, "left_semi")
-    newest = chunks.latest_chunks(
-        rows.join(
-            rows.groupBy(*KEY, "rel_path").agg(F.max("batch").alias("batch")), [*KEY, "rel_path", "batch"], "left_semi"
-        ),
-        IDENTITY, "batch", ["chunk"],
+    newest_batch = (
+        store.read("inventory").where(F.col("batch") <= batch_id).join(cycles, KEY, "left_semi")
+        .groupBy(*KEY, "rel_path").agg(F.max("batch").alias("batch"))
     )
+    newest = rows.join(newest_batch, [*KEY, "rel_path", "batch"], "left_semi")
     plain = newest.withColumns({"plain_bytes": F.length("chunk"), "plain_sha256": F.sha2("chunk", 256)})
     sealed = crypto.encrypted(plain, ring, "chunk", crypto.chunk_identity(*IDENTITY))
     columns = [c.split()[0] for c in TABLES["artifacts"].split(", ")]
@@ -155,7 +154,8 @@ def run_pass(
 ) -> None:
     """One pass. The ledger is written last and only once, so a repeated pass changes nothing."""
     add_arrivals(store, files, list_lines(files) if lines is None else lines, batch_id, chunk_bytes)
-    seal(store, ready_cycles(store, batch_id), ring, batch_id)
+    store.write(ready_cycles(store, batch_id), "ready", batch_id)
+    seal(store, store.only("ready", batch_id), ring, batch_id)
     sent = [name for name, uri in targets.items() if replicate(store, name, uri, batch_id)]
     done = store.only("catalog", batch_id).select(
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cycle_analytics.session import make_folder
+
 
 class Store:
     """Named parquet tables below one root, one folder per micro-batch."""
@@ -15,9 +17,9 @@ class Store:
         self.schemas = schemas
 
     def create(self) -> Store:
-        """Give every table an empty first batch, so that it can be read."""
-        for name, schema in self.schemas.items():
-            self.write(self.spark.createDataFrame([], schema), name, -1)
+        """Make the folder of every table, so that it can be read before its first batch."""
+        for name in self.schemas:
+            make_folder(self.spark, self.path(name))
         return self
 
     def path(self, name: str) -> str:
