@@ -92,7 +92,7 @@ def catalog_documents(
 
 def request_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Request files as (request_id, body), for batch use."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    df = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return df.select(name.alias("request_id"), F.col("value").alias("body"))
 

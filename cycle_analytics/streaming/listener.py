@@ -23,7 +23,7 @@ def new_store(spark: SparkSession, root: str) -> Store:
 def request_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Arriving request files as (request_id, body)."""
     stream = (
-        spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").schema("value string").text(folder)
+        spark.readStream.schema("value string").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     )
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return stream.select(name.alias("request_id"), F.col("value").alias("body"))

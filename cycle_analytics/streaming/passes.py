@@ -23,6 +23,7 @@ IDENTITY = [*KEY, "rel_path", "chunk_no"]
 CHUNK_BYTES = 4 * 1024 * 1024
 POLL_INTERVAL = "15 seconds"
 STORED = "stored"
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 TABLES = {
     "content": "chain_v string, cycle_id string, rel_path string, bytes bigint, actual_sha256 string, "
@@ -172,7 +173,7 @@ def run_pass(
 def incoming_stream(spark: SparkSession, root: str, chain: str | None = None) -> DataFrame:
     """Arriving package files; with `chain` only that chain's folder is listed."""
     path = f"{root.rstrip('/')}/{chain}" if chain else root
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    stream = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).load(path)
     return placed_files(stream, root).select(*KEY, "rel_path", "content")
 
 
