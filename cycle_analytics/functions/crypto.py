@@ -1,7 +1,7 @@
 """AES-256-GCM over chunk rows: nonce(12), ciphertext, tag(16) in one binary value.
 
-The key never appears in an expression, where plans and event logs would show it. It
-is a column of a one-row key ring that an equi-join on `key_id` brings to the rows.
+The key never appears as a literal, which plans and event logs would show. It is the value
+of a scalar subquery on a one-row key ring, so the rows are neither joined nor shuffled.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ def key_is_valid(key_b64: Column) -> Column:
     return F.coalesce(F.length(F.try_to_binary(key_b64, F.lit("base64"))) == KEY_BYTES, F.lit(False))
 
 
-def _with_key(df: DataFrame, ring: DataFrame, key_id: str) -> DataFrame:
-    return df.withColumn("key_id", F.lit(key_id)).join(F.broadcast(ring), "key_id")
+def _key(ring: DataFrame, key_id: str) -> Column:
+    """The key of that id; more than one is an error, none encrypts and opens nothing."""
+    return ring.where(F.col("key_id") == key_id).select("aes_key").scalar()
 
 
 def chunk_identity(*parts: str) -> Column:
@@ -59,18 +60,17 @@ def encrypted(
     df: DataFrame, ring: DataFrame, content: str, identity: Column, out: str = "artifact", key_id: str = "current"
 ) -> DataFrame:
     """Replace `content` by its ciphertext. A fresh nonce per evaluation: write before reading twice."""
-    cipher = F.aes_encrypt(
-        F.col(content), F.col("aes_key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), identity
-    )
-    return _with_key(df, ring, key_id).withColumn(out, cipher).drop("aes_key", content)
+    fresh_nonce = F.lit(b"").cast("binary")
+    cipher = F.aes_encrypt(F.col(content), _key(ring, key_id), F.lit("GCM"), F.lit("DEFAULT"), fresh_nonce, identity)
+    return df.withColumns({"key_id": F.lit(key_id), out: cipher}).drop(content)
 
 
 def decrypted(
     df: DataFrame, ring: DataFrame, artifact: str, identity: Column, out: str = "content", key_id: str = "current"
 ) -> DataFrame:
     """Plain bytes of `artifact`, NULL where the tag, key or place does not match."""
-    plain = F.try_aes_decrypt(F.col(artifact), F.col("aes_key"), F.lit("GCM"), F.lit("DEFAULT"), identity)
-    return _with_key(df.drop("key_id"), ring, key_id).withColumn(out, plain).drop("aes_key")
+    plain = F.try_aes_decrypt(F.col(artifact), _key(ring, key_id), F.lit("GCM"), F.lit("DEFAULT"), identity)
+    return df.withColumn(out, plain)
 
 
 def nonce_hex(artifact: Column) -> Column:

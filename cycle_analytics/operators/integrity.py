@@ -101,12 +101,20 @@ def reconciled(artifacts: DataFrame, catalog: DataFrame, done: DataFrame, keys:
     """Which of artifact, catalog row and done marker each key has."""
     keys = keys or PACKAGE
     named = {"has_artifact": artifacts, "has_catalog": catalog, "has_done": done}
-    sets = [df.select(*keys).distinct().withColumn(name, F.lit(True)) for name, df in named.items()]
-    merged = reduce(lambda a, b: a.join(b, keys, "full_outer"), sets)
-    flags = [F.coalesce(name, F.lit(False)).alias(name) for name in named]
-    return merged.select(*keys, *flags).withColumn(
-        "consistent", F.col("has_artifact") & F.col("has_catalog") & F.col("has_done")
-    )
+    flags = flagged(named, keys)
+    return flags.withColumn("consistent", F.col("has_artifact") & F.col("has_catalog") & F.col("has_done"))
+
+
+def flagged(named: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """One row per key with a flag for each frame that has it.
+
+    One union and one aggregation instead of a join per frame, so a key with very many
+    rows shrinks before the only shuffle.
+    """
+    parts = [
+        df.select(*keys, *[F.lit(name == own).alias(name) for name in named]) for own, df in named.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.bool_or(name).alias(name) for name in named])
 
 
 def offenders(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -212,7 +212,9 @@ def _partials(
         F.lit(1).cast("long").alias("_n"), F.col("_v").alias("_sum"), F.col("_v").alias("_max"),
     )
     table = reduce(DataFrame.unionByName, [raw, *_levels(points, keys, width)])
-    on = same_keys(pieces, table, [*keys, "_level", "_bucket"])
+    on = (pieces["_level"] == table["_level"]) & (pieces["_bucket"] == table["_bucket"])
+    if keys:
+        on = on & same_keys(pieces, table, keys)
     inside = pieces["_lo"].isNull() | ((table["_t"] >= pieces["_lo"]) & (table["_t"] < pieces["_hi"]))
     matched = pieces.join(table, on & inside).select("_span", "_n", "_sum", "_max")
     return [matched, *finer]

@@ -6,9 +6,13 @@ goes through `stages`, which keeps the first stamp per (chain, cycle, stage, tar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cycle_analytics.operators.integrity import flagged
+
 KEY = ["chain_v", "cycle_id"]
 DONE = "done"
 UPLOADED = "uploaded"
@@ -35,21 +39,35 @@ def complete_artifacts(artifacts: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def upload_backlog(artifacts: DataFrame, metadata: DataFrame, ledger: DataFrame, targets: list[str]) -> DataFrame:
-    """(cycle, target) pairs that still have to be sent. No targets, no backlog."""
-    wanted = complete_artifacts(artifacts, metadata).select(*KEY).distinct()
-    names = F.array(*[F.lit(t) for t in targets]) if targets else F.array().cast("array<string>")
-    pairs = wanted.withColumn("target", F.explode(names))
-    sent = ledger.where(F.col("stage") == UPLOADED).select(*KEY, "target").distinct()
-    return pairs.join(sent, [*KEY, "target"], "left_anti")
+    """(cycle, target) pairs that still have to be sent. No targets, no backlog.
+
+    Everything known of a cycle is brought together by one aggregation: presence flags, and
+    per configured target whether it was sent.
+    """
+    if not targets:
+        return artifacts.select(*KEY, F.lit("").alias("target")).limit(0)
+    uploads = ledger.where((F.col("stage") == UPLOADED) & F.col("target").isin(targets))
+    facts = [(artifacts, "artifact", None), (metadata, "metadata", None), (uploads, "sent", "target")]
+    rows = reduce(
+        DataFrame.unionByName,
+        [df.select(*KEY, F.lit(fact).alias("_fact"), (F.col(t) if t else F.lit(None).cast("string")).alias("_target")) for df, fact, t in facts],
+    )
+    missing = [
+        F.when(~F.coalesce(F.bool_or((F.col("_fact") == "sent") & (F.col("_target") == t)), F.lit(False)), F.lit(t)) for t in targets
+    ]
+    known = rows.groupBy(*KEY).agg(
+        F.bool_or(F.col("_fact") == "artifact").alias("_stored"), F.bool_or(F.col("_fact") == "metadata").alias("_listed"),
+        F.array(*missing).alias("_missing"),
+    )
+    return known.where("_stored and _listed").select(*KEY, F.explode("_missing").alias("target")).where("target is not null")
 
 
 def purge_eligible(ledger: DataFrame, artifacts: DataFrame, metadata: DataFrame, ready: DataFrame) -> DataFrame:
     """Inputs that may be removed: done, stored completely and still verifying."""
-    return (
-        complete_artifacts(artifacts, metadata).select(*KEY).distinct()
-        .join(finished(ledger), KEY, "left_semi")
-        .join(ready.where("ready").select(*KEY).distinct(), KEY, "left_semi")
-    )
+    named = {
+        "_done": ledger.where(F.col("stage") == DONE), "_stored": artifacts, "_listed": metadata, "_ready": ready.where("ready"),
+    }
+    return flagged(named, KEY).where("_done and _stored and _listed and _ready").select(*KEY)
 
 
 def stage_seconds(ledger: DataFrame) -> DataFrame:

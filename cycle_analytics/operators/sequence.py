@@ -56,7 +56,8 @@ def _positions(
     places = wanted.where(F.col(upto) >= 1).withColumn(
         "replay_order", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(upto)))
     )
-    return numbered(cycles, [chain], [cycle_id], "replay_order", split).join(places, [chain, "replay_order"])
+    asked = cycles.join(wanted.select(chain).distinct(), chain, "left_semi")
+    return numbered(asked, [chain], [cycle_id], "replay_order", split).join(places, [chain, "replay_order"])
 
 
 def cumulative(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, split: bool | None = None) -> DataFrame:

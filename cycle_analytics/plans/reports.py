@@ -94,9 +94,8 @@ def usage_timeline(
     if kind:
         chosen = spans.where(F.col("kind") == kind)
         margin = clock.seconds(F.lit(margin_seconds))
-        first = chosen.agg(F.min("start")).scalar()
-        last = chosen.agg(F.max("end")).scalar()
-        samples = samples.where(F.col(ts).between(first - margin, last + margin))
+        bounds = chosen.agg(F.struct(F.min("start").alias("first"), F.max("end").alias("last"))).scalar()
+        samples = samples.where(F.col(ts).between(bounds["first"] - margin, bounds["last"] + margin))
     labelled = asof.state_label(samples, spans, ts, "start", "end", "kind").select(F.col(ts).alias("slot"), value, "state")
     smooth = sequence.rolling_pair_mean(labelled, [], ["slot"], value, "smoothed")
     if not before and not after:
@@ -112,9 +111,10 @@ def usage_timeline(
 def growth(snapshots: DataFrame, total: str, restores: DataFrame, until: Column | None = None, window_seconds: float = 180) -> tuple[DataFrame, DataFrame]:
     """A store's totals up to a cut, and the level each restore brought back (dropped without a sample)."""
     series = snapshots.where(F.col("ts") <= until) if until is not None else snapshots
-    probes = restores.select("target_chain_version", "ended_at")
+    name = F.concat_ws("/", "target_chain_version", F.col("ended_at").cast("string"))
+    probes = restores.select("target_chain_version", "ended_at", name.alias("restore_id"))
     levels = intervals.window_peak_after(
-        probes, snapshots, "target_chain_version", "ended_at", "ts", total, window_seconds, empty_as_zero=False
+        probes, snapshots, "restore_id", "ended_at", "ts", total, window_seconds, empty_as_zero=False
     )
     return series.select("ts", total), levels.select("target_chain_version", "ended_at", F.col("max_value").alias("restored_level"))
 

@@ -315,11 +315,10 @@ def ops_per_5min_wide(spark, root):
 def event_window_filter(spark, root):
     events = table(spark, root, "events").select("event_type", "ts", "value")
     bought = events.where("event_type = 'purchase'")
-    first = bought.agg(F.min("ts")).scalar()
-    last = bought.agg(F.max("ts")).scalar()
+    bounds = bought.agg(F.struct(F.min("ts").alias("first"), F.max("ts").alias("last"))).scalar()
     margin = clock.seconds(F.lit(120))
-    inside = events.where(F.col("ts").between(first - margin, last + margin))
-    break_at = first + clock.seconds(F.lit(10 * 86400))
+    inside = events.where(F.col("ts").between(bounds["first"] - margin, bounds["last"] + margin))
+    break_at = bounds["first"] + clock.seconds(F.lit(10 * 86400))
     panel = F.when(F.col("ts") <= break_at, "left").otherwise("right")
     return inside.groupBy("event_type", panel.alias("panel")).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
