@@ -8,13 +8,15 @@ range is cut into pieces on a bucket grid:
 * the two ragged ends meet the samples of their one bucket, by equi-join on the bucket
   and an exact test of the bounds.
 
-A bucket above `bucket_rows` samples gets a finer grid for the ends that fall into it,
-down to one microsecond, where only aggregated samples are left. So no bucket forms
-all pairs of its spans and samples.
+On large inputs the grid follows the density of the samples, and a bucket that still has
+far more than the usual number gets a finer grid of its own, down to one microsecond,
+where only aggregated samples are left. So no bucket forms all pairs of its spans and
+samples, however many fall into it.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from cycle_analytics.operators.ordered import same_keys
 from cycle_analytics.session import is_small, written
 
-FANOUT = 64
-COARSER = 3
-BUCKET_ROWS = 10_000
+# Each grid is four times as coarse as the one below it.
+SHIFT = 2
+LEVELS = 5
+SAMPLES_PER_BUCKET = 32
+BUCKET_ROWS = 256
+# A crowded bucket is cut into this many finer ones.
+REFINE_SHIFT = 6
 
 
 def micros(stamp: Column) -> Column:
@@ -64,8 +70,10 @@ def span_stats(
     )
     if split is None:
         split = not is_small(points)
-    width = max(1, int(width_seconds * 1_000_000))
-    parts = reduce(DataFrame.unionByName, _partials(ranges, points, keys, width, bucket_rows, split))
+    width, levels = max(1, int(width_seconds * 1_000_000)), LEVELS
+    if split:
+        width, levels = _fitting_grid(ranges, points, keys, width)
+    parts = reduce(DataFrame.unionByName, _partials(ranges, points, keys, width, levels, bucket_rows, split))
     stats = parts.groupBy("_span").agg(
         F.sum("_n").alias("n_samples"),
         F.max("_max").alias("max_value"),
@@ -106,30 +114,43 @@ def window_peak_after(
     return stats
 
 
+def _fitting_grid(ranges: DataFrame, points: DataFrame, keys: list[str], widest: int) -> tuple[int, int]:
+    """Bucket width for a few samples per bucket, and levels up to the longest span."""
+    groups = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
+    seen = points.agg(F.count("_t").alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"), groups.alias("groups")).first()
+    longest = ranges.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
+    width = widest
+    if seen["n"]:
+        per_group = max(1, seen["n"] // max(1, seen["groups"]))
+        width = min(widest, max(1, (seen["hi"] - seen["lo"] + 1) * SAMPLES_PER_BUCKET // per_group))
+    levels = 1 + max(1, math.ceil(math.log2(max(1, longest / width)) / SHIFT))
+    return width, min(levels, 20)
+
+
 def _run(first: Column, last: Column) -> Column:
     """Bucket numbers first..last, empty when last < first."""
-    empty = F.array().cast("array<bigint>")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(empty)
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _down(number: Column) -> Column:
+    return F.shiftright(number, SHIFT)
+
+
+def _up(number: Column) -> Column:
+    return -F.shiftright(-number, SHIFT)
 
 
-def _pieces(ranges: DataFrame, keys: list[str], width: int) -> DataFrame:
+def _pieces(ranges: DataFrame, keys: list[str], width: int, levels: int) -> DataFrame:
     """Cut ranges into whole buckets (level >= 1) and ragged ends (level 0)."""
     lo, hi = F.col("_lo"), F.col("_hi")
     cuts = ranges.withColumns(
         {"_i1": F.ceil(lo / F.lit(width)).cast("long"), "_j1": F.floor(hi / F.lit(width)).cast("long")}
     )
-    for level in range(2, COARSER + 1):
-        cuts = cuts.withColumns(
-            {
-                f"_i{level}": F.ceil(F.col(f"_i{level - 1}") / F.lit(FANOUT)).cast("long"),
-                f"_j{level}": F.floor(F.col(f"_j{level - 1}") / F.lit(FANOUT)).cast("long"),
-            }
-        )
+    for level in range(2, levels + 1):
+        cuts = cuts.withColumns({f"_i{level}": _up(F.col(f"_i{level - 1}")), f"_j{level}": _down(F.col(f"_j{level - 1}"))})
 
     def node(level: int, bucket: Column, start: Column, end: Column) -> Column:
-        return F.struct(
-            F.lit(level).alias("level"), bucket.alias("bucket"), start.alias("lo"), end.alias("hi")
-        )
+        return F.struct(F.lit(level).alias("level"), bucket.alias("bucket"), start.alias("lo"), end.alias("hi"))
 
     unbounded = F.lit(None).cast("long")
 
@@ -143,75 +164,58 @@ def _pieces(ranges: DataFrame, keys: list[str], width: int) -> DataFrame:
         F.when((i1 <= j1) & (hi > j1 * width), node(0, j1, j1 * width, hi)),
     )
     parts = [F.filter(ends, lambda x: x.isNotNull())]
-    for level in range(1, COARSER + 1):
+    for level in range(1, levels + 1):
         i, j = F.col(f"_i{level}"), F.col(f"_j{level}")
         numbers = _run(i, j - 1)
-        if level < COARSER:
+        if level < levels:
             up_i, up_j = F.col(f"_i{level + 1}"), F.col(f"_j{level + 1}")
-            flanks = F.concat(_run(i, up_i * FANOUT - 1), _run(up_j * FANOUT, j - 1))
+            flanks = F.concat(_run(i, F.shiftleft(up_i, SHIFT) - 1), _run(F.shiftleft(up_j, SHIFT), j - 1))
             numbers = F.when(up_i < up_j, flanks).otherwise(numbers)
-        if level > 1:
-            used = F.col(f"_i{level}") < F.col(f"_j{level}")
-            numbers = F.when(used, numbers).otherwise(F.array().cast("array<bigint>"))
         parts.append(whole_nodes(level, numbers))
-    return cuts.select("_span", *keys, F.explode(F.concat(*parts)).alias("_piece")).select(
-        "_span",
-        *keys,
-        F.col("_piece.level").alias("_level"),
-        F.col("_piece.bucket").alias("_bucket"),
-        F.col("_piece.lo").alias("_lo"),
-        F.col("_piece.hi").alias("_hi"),
-    )
+    return cuts.select("_span", *keys, F.inline(F.concat(*parts)).alias("_level", "_bucket", "_lo", "_hi"))
 
 
-def _levels(points: DataFrame, keys: list[str], width: int) -> list[DataFrame]:
-    """Samples aggregated per bucket on each grid; every level sums up the one below."""
-    bucket = F.floor(F.col("_t") / F.lit(width)).cast("long")
-    level = points.groupBy(*keys, bucket.alias("_bucket")).agg(
+def _grids(placed: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """Samples aggregated per bucket on every grid; the coarser grids sum up the finest."""
+    sums = [F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.max("_max").alias("_max")]
+    finest = placed.groupBy(*keys, "_bucket").agg(
         F.count("_v").alias("_n"), F.sum("_v").alias("_sum"), F.max("_v").alias("_max")
-    )
-    out = []
-    for step in range(1, COARSER + 1):
-        if step > 1:
-            coarser = F.floor(F.col("_bucket") / F.lit(FANOUT)).cast("long")
-            level = level.groupBy(*keys, coarser.alias("_bucket")).agg(
-                F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.max("_max").alias("_max")
-            )
-        out.append(
-            level.select(
-                *keys, F.lit(step).alias("_level"), "_bucket", F.lit(None).cast("long").alias("_t"), "_n", "_sum", "_max"
-            )
-        )
-    return out
+    ).withColumn("_level", F.lit(1))
+    if levels == 1:
+        return finest
+    coarser = finest.drop("_level").withColumn("_level", F.explode(F.sequence(F.lit(2), F.lit(levels))))
+    bucket = F.expr(f"shiftright(_bucket, {SHIFT} * (_level - 1))")
+    return finest.unionByName(coarser.withColumn("_bucket", bucket).groupBy(*keys, "_bucket", "_level").agg(*sums))
 
 
 def _partials(
-    ranges: DataFrame, points: DataFrame, keys: list[str], width: int, bucket_rows: int, split: bool
+    ranges: DataFrame, points: DataFrame, keys: list[str], width: int, levels: int, bucket_rows: int, split: bool
 ) -> list[DataFrame]:
     """Partial (_span, _n, _sum, _max) rows whose total per span is the answer."""
-    pieces = _pieces(ranges, keys, width)
+    pieces = _pieces(ranges, keys, width, levels)
     placed = points.withColumn("_bucket", F.floor(F.col("_t") / F.lit(width)).cast("long"))
+    grids = _grids(placed, keys, levels)
     by = [*keys, "_bucket"]
     finer: list[DataFrame] = []
     if split and width > 1:
-        hot = written(
-            placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows).drop("_n"),
-            "hot-buckets",
-        )
-        if not hot.isEmpty():
+        counts = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = written(counts.where(F.col("_n") > bucket_rows).drop("_n"), "crowded-buckets")
+        if not crowded.isEmpty():
             ends, rest = pieces.where("_level = 0"), pieces.where("_level > 0")
+            inner_ends = ends.join(crowded, same_keys(ends, crowded, by), "left_semi").select("_span", *keys, "_lo", "_hi")
+            inner_points = placed.join(crowded, same_keys(placed, crowded, by), "left_semi").drop("_bucket")
+            # Written, because the finer grid reads both several times.
             finer = _partials(
-                ends.join(hot, same_keys(ends, hot, by), "left_semi").select("_span", *keys, "_lo", "_hi"),
-                placed.join(hot, same_keys(placed, hot, by), "left_semi").drop("_bucket"),
-                keys, max(1, width // 256), bucket_rows, split,
+                written(inner_ends, "span-ends"), written(inner_points, "crowded-samples"), keys,
+                max(1, width >> REFINE_SHIFT), REFINE_SHIFT // SHIFT + 1, bucket_rows, split,
             )
-            pieces = ends.join(hot, same_keys(ends, hot, by), "left_anti").unionByName(rest)
-            placed = placed.join(hot, same_keys(placed, hot, by), "left_anti")
+            pieces = ends.join(crowded, same_keys(ends, crowded, by), "left_anti").unionByName(rest)
+            placed = placed.join(crowded, same_keys(placed, crowded, by), "left_anti")
     raw = placed.select(
         *keys, F.lit(0).alias("_level"), "_bucket", "_t",
         F.lit(1).cast("long").alias("_n"), F.col("_v").alias("_sum"), F.col("_v").alias("_max"),
     )
-    table = reduce(DataFrame.unionByName, [raw, *_levels(points, keys, width)])
+    table = raw.unionByName(grids.withColumn("_t", F.lit(None).cast("long")))
     on = (pieces["_level"] == table["_level"]) & (pieces["_bucket"] == table["_bucket"])
     if keys:
         on = on & same_keys(pieces, table, keys)
