@@ -100,7 +100,19 @@ def restore_pass(plan: DataFrame, artifacts: DataFrame, ring: DataFrame, staging
     return judged
 
 
-def integrity_report(opened: DataFrame, verdicts: DataFrame, done: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per cycle: chunk verdicts together with catalog row and done marker."""
-    sets = integrity.reconciled(opened, catalog, done)
-    return sets.join(verdicts, ["chain_v", "cycle_id"], "left")
+def integrity_report(artifacts: DataFrame, verdicts: DataFrame, catalog: DataFrame, done: DataFrame) -> DataFrame:
+    """Per cycle: presence of artifact, catalog row and done marker, chunk verdicts, and agreement of the two.
+
+    A cycle passes when all three are there, the algorithm and the counts and sizes of the
+    catalog hold for the stored bytes, and every chunk opens to its recorded digest.
+    """
+    present = integrity.reconciled(artifacts, catalog, done)
+    listed = catalog.select(
+        "chain_v", "cycle_id", "alg", F.col("n_chunks").alias("listed_chunks"), F.col("package_bytes").alias("listed_bytes")
+    )
+    joined = present.join(listed, ["chain_v", "cycle_id"], "left").join(verdicts, ["chain_v", "cycle_id"], "left")
+    agrees = (
+        (F.col("alg") == crypto.ALGORITHM) & (F.col("listed_chunks") == F.col("n_chunks"))
+        & (F.col("listed_bytes") == F.col("package_bytes"))
+    )
+    return joined.withColumn("passed", F.coalesce(F.col("consistent") & agrees & F.col("ok"), F.lit(False)))

@@ -19,8 +19,8 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
          SELECT event_id, ts - to_microseconds(CAST(round(value * 1000000) AS BIGINT)) - INTERVAL 15 MINUTE AS lo,
                 ts + INTERVAL 15 MINUTE AS hi
          FROM events WHERE event_type = 'purchase'),
-       samples AS (SELECT ts, value FROM events WHERE event_type <> 'purchase')
-       SELECT s.event_id, count(m.value) AS n_samples, round(max(m.value), 6) AS max_value,
+       samples AS (SELECT ts, CAST(round(value * 100) AS BIGINT) AS value FROM events WHERE event_type <> 'purchase')
+       SELECT s.event_id, count(m.value) AS n_samples, CAST(max(m.value) AS DOUBLE) AS max_value,
               round(avg(m.value), 6) AS avg_value
        FROM spans s LEFT JOIN samples m ON m.ts BETWEEN s.lo AND s.hi GROUP BY s.event_id"""
 )
@@ -30,13 +30,13 @@ def span_metric_stats(spark, root):
     spans = events.where("event_type = 'purchase'").select(
         "event_id", clock.span_start(F.col("ts"), F.col("value")).alias("start"), F.col("ts").alias("end")
     )
-    samples = events.where("event_type <> 'purchase'").select("ts", "value")
+    samples = events.where("event_type <> 'purchase'").select("ts", cents("value").alias("value"))
     stats = intervals.span_stats(
         spans, samples, "event_id", F.col("start") - margin, F.col("end") + margin, "ts", "value",
         width_seconds=1800,
     )
     return stats.select(
-        "event_id", "n_samples", F.round("max_value", 6).alias("max_value"), F.round("avg_value", 6).alias("avg_value")
+        "event_id", "n_samples", F.col("max_value").cast("double").alias("max_value"), F.round("avg_value", 6).alias("avg_value")
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto
 from cycle_analytics.operators import ledger
-from cycle_analytics.plans.restore import restore_pass, restore_plan
+from cycle_analytics.operators import chunks
+from cycle_analytics.plans.restore import integrity_report, opened_packages, package_verdicts, restore_pass, restore_plan
 from cycle_analytics.sources import packages, telemetry
 from cycle_analytics.streaming import listener, passes, samples, states
 from cycle_analytics.streaming.store import Store
@@ -105,6 +106,30 @@ def test_restore_pass_delivers_the_ok_prefix_only(spark, backed_up, tmp_path):
     assert [(r["ok"], r["prefix_ok"]) for r in verdicts] == [(False, False), (True, False)]
 
 
+def test_integrity_report(spark, backed_up):
+    store, _, _, ring = backed_up
+    catalog, artifacts = store.read("catalog").drop("batch"), store.read("artifacts").drop("batch")
+    plan = catalog.select(F.col("chain_v").alias("version"), "cycle_id")
+    verdicts = package_verdicts(opened_packages(plan, artifacts, ring))
+    report = integrity_report(artifacts, verdicts, catalog, ledger.finished(store.read("ledger")))
+    assert [(r["cycle_id"], r["passed"]) for r in report.orderBy("cycle_id").collect()] == [("c1", True), ("c2", True)]
+    unmarked = integrity_report(artifacts, verdicts, catalog, ledger.finished(store.read("ledger")).where("cycle_id = 'c1'"))
+    assert {r["cycle_id"]: r["passed"] for r in unmarked.collect()} == {"c1": True, "c2": False}
+
+
+def test_chunks_of_a_chain_are_stored_once_and_replayed(spark):
+    files = spark.createDataFrame(
+        [("v", 1, "f", bytearray(b"aaaabbbb")), ("v", 2, "f", bytearray(b"aaaacccc")), ("v", 2, "g", bytearray(b""))],
+        "chain_v string, cycle int, rel_path string, content binary",
+    )
+    pieces = chunks.with_digest(chunks.chunked(files, "content", 4))
+    assert pieces.count() == 5
+    fresh = chunks.new_chunks(pieces.where("cycle = 2"), pieces.where("cycle = 1"), ["chain_v"])
+    assert sorted((r["rel_path"], bytes(r["chunk"])) for r in fresh.collect()) == [("f", b"cccc"), ("g", b"")]
+    newest = chunks.latest_chunks(pieces, ["chain_v", "rel_path", "chunk_no"], "cycle", ["chunk"])
+    assert [bytes(r["chunk"]) for r in newest.where("rel_path = 'f'").orderBy("chunk_no").collect()] == [b"aaaa", b"cccc"]
+
+
 def test_request_listener(spark, tmp_path):
     folder = tmp_path / "requests"
     write(folder / "r1.json", json.dumps({"version": "chain-v1", "chain": 2}, indent=2))
