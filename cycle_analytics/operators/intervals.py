@@ -27,7 +27,7 @@ from cycle_analytics.session import is_small, written
 
 # Each grid is four times as coarse as the one below it.
 SHIFT = 2
-LEVELS = 5
+LEVELS = 2
 SAMPLES_PER_BUCKET = 32
 BUCKET_ROWS = 256
 # A crowded bucket is cut into this many finer ones.

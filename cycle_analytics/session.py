@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A plan whose estimated input is below this fits in one task without trouble.
+# A frame that reads less than this fits in one task without trouble.
 SMALL_PLAN_BYTES = 64 * 1024 * 1024
 
 SETTINGS = {
@@ -84,5 +84,15 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything a frame reads.
+
+    Unlike the estimate of the whole plan, which multiplies the two sides of a join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
-    return plan_bytes(df) <= limit
+    """Whether the inputs of a frame are so small that any of its groups fits in one task."""
+    return input_bytes(df) <= limit
