@@ -46,7 +46,7 @@ def parsed_requests(df: DataFrame, body: str, default_dest: str, cloud_alias: bo
     doc = _evaluated(df, {"_doc": F.try_parse_json(F.col(body))})
     parts = {f: F.try_variant_get(F.col("_doc"), f"$.{f}", "variant") for f in fields}
     typed = {f"_k_{f}": F.schema_of_variant(v) for f, v in parts.items()}
-    texts = {f"_t_{f}": F.try_variant_get(v, "$", "string") for f, v in parts.items()}
+    texts = {f"_t_{f}": F.try_variant_get(F.col("_doc"), f"$.{f}", "string") for f in fields}
     read = _evaluated(doc, {**typed, **texts, "_broken": F.col("_doc").isNull()})
 
     def kind(field: str) -> Column:

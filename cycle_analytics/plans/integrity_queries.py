@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto, documents, text
-from cycle_analytics.operators import chunks, integrity, ledger, requests, sequence
+from cycle_analytics.operators import chunks, integrity, ledger, requests
 from cycle_analytics.plans.registry import cents, padded_id, query
 from cycle_analytics.session import new_folder
 from cycle_analytics.sources.packages import cycle_progress, log_lines

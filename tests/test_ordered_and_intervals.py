@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cycle_analytics.operators.asof import asof_peak, latest_before, state_label
 from cycle_analytics.operators.intervals import span_stats, window_peak_after
 from cycle_analytics.operators.ordered import number, peak, previous, running, total
+from cycle_analytics.operators.sequence import counter_rate, oldest_n, prefix_ok, replay_prefix
 
 T0 = datetime(2026, 6, 20, 23, 0, 0)
 
@@ -115,3 +116,28 @@ def test_latest_cycle_before_target_breaks_ties_by_first_id(spark, split):
     assert {(r["chain"], r["at"]): r["target_cycle"] for r in got.collect()} == {
         ("v1", 0): None, ("v1", 5): "c2", ("v1", 4): "c1", ("v2", 9): "d1",
     }
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_plans_by_position(spark, split):
+    cycles = spark.createDataFrame([("v1", c) for c in ("c3", "c1", "c2")] + [("v2", "d1")], "chain string, id string")
+    requests = spark.createDataFrame([(1, "v1", 2), (2, "v1", 9), (3, "v2", 1), (4, "v3", 1)], "request int, chain string, n bigint")
+    picked = oldest_n(cycles, requests, "chain", "id", "n", split=split).collect()
+    assert sorted((r["request"], r["id"], r["replay_order"], r["available"], r["selected"]) for r in picked) == [
+        (1, "c1", 1, 3, 2), (1, "c2", 2, 3, 2), (2, "c1", 1, 3, 3), (2, "c2", 2, 3, 3), (2, "c3", 3, 3, 3), (3, "d1", 1, 1, 1),
+    ]
+    targets = spark.createDataFrame([("v1", "c2"), ("v1", "c25"), ("v1", "b"), ("v2", "z")], "chain string, upto string")
+    prefix = replay_prefix(cycles, targets, "chain", "id", "upto", split=split).collect()
+    assert sorted((r["upto"], r["id"]) for r in prefix) == [
+        ("c2", "c1"), ("c2", "c2"), ("c25", "c1"), ("c25", "c2"), ("z", "d1"),
+    ]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_prefix_and_counter_rules(spark, split):
+    judged = spark.createDataFrame([("r", 1, True), ("r", 2, False), ("r", 3, True)], "r string, k int, ok boolean")
+    got = prefix_ok(judged, ["r"], ["k"], "ok", split=split).collect()
+    assert {r["k"]: r["prefix_ok"] for r in got} == {1: True, 2: False, 3: False}
+    polls = spark.createDataFrame([("h", 1, 0, 0), ("h", 2, 25, 100), ("h", 3, 25, 100)], "h string, k int, idle int, total int")
+    rates = counter_rate(polls, ["h"], ["k"], "idle", "total", split=split).collect()
+    assert {r["k"]: r["busy_percent"] for r in rates} == {1: None, 2: 75.0, 3: 0.0}
