@@ -8,7 +8,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from cycle_analytics.llm import (
-    packing, quality, token_counts, url_filters, vector_search, warc,
+    near_dup, packing, quality, token_counts, url_filters, vector_search, warc,
 )
 from cycle_analytics.llm.common import table
 
@@ -113,3 +113,31 @@ ORACLES: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
     "op10_quality_rules": OP10_SQL,
 }
+
+OP2_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+            ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g
+        FROM w
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), c AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+        WHERE 100 * common >= 80 * (x.n + y.n - common)
+    ), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+    ), r AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a
+    ), m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM m LEFT JOIN n USING (doc_id)
+"""
+
+QUERIES["op2_near_duplicates"] = over(near_dup, "documents")
+ORACLES["op2_near_duplicates"] = OP2_SQL
