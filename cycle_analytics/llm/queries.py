@@ -8,7 +8,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from cycle_analytics.llm import (
-    near_dup, packing, quality, token_counts, url_filters, vector_search, warc,
+    near_dup, packing, quality, repeats, token_counts, url_filters, vector_search, warc,
 )
 from cycle_analytics.llm.common import table
 
@@ -141,3 +141,5 @@ OP2_SQL = r"""
 
 QUERIES["op2_near_duplicates"] = over(near_dup, "documents")
 ORACLES["op2_near_duplicates"] = OP2_SQL
+
+QUERIES["op7_repeated_passages"] = over(repeats, "documents")
