@@ -8,7 +8,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from cycle_analytics.llm import (
-    near_dup, packing, quality, repeats, token_counts, url_filters, vector_search, warc,
+    mixing, near_dup, packing, quality, repeats, token_counts, toxicity, url_filters, vector_search, warc,
 )
 from cycle_analytics.llm.common import table
 
@@ -143,3 +143,7 @@ QUERIES["op2_near_duplicates"] = over(near_dup, "documents")
 ORACLES["op2_near_duplicates"] = OP2_SQL
 
 QUERIES["op7_repeated_passages"] = over(repeats, "documents")
+QUERIES["op6_mixture"] = over(mixing, "documents")
+QUERIES["op9_toxicity"] = lambda spark, root: toxicity.run_query(
+    table(spark, root, "documents"), table(spark, root, "labels")
+)

@@ -255,12 +255,10 @@ def removed(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, one row per input row."""
-    rows = keyed(docs, id_col, text_col)
-    met = with_ranges(rows, marks_of(rows, length)).select("id", "text", "ranges")
+def cut_rows(rows: DataFrame, carried: str, length: int) -> DataFrame:
+    """Cut the texts of rows (id, th, text, and the column `carried`): carried, n_bytes, ..., kept_text."""
+    marks = marks_of(rows.select("id", "th", "text"), length)
+    met = with_ranges(rows, marks).select(carried, F.col("text").alias("cut_text"), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -275,18 +273,36 @@ def cut_documents(
                     left = b"".join(kept)
                     out.append((
                         len(data), len(data) - len(left), len(gone), sha256(left).hexdigest(),
-                        b"".join(part.decode("utf-8", "ignore").encode() for part in kept).decode(),
+                        "".join(part.decode("utf-8", "ignore") for part in kept),
                     ))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *(pa.array([o[k] for o in out], t) for k, t in enumerate(types))],
-                    names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                    names=[carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = met.schema[carried].dataType.simpleString()
     return met.mapInArrow(
-        cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    ).withColumnRenamed("id", id_col)
+        cut, f"{carried} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    )
+
+
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, one row per input row."""
+    return cut_rows(keyed(docs, id_col, text_col), "id", length).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows with their own columns, repeated passages cut out of the text. A null text stays null."""
+    others = [c for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("_none"), *[F.col(f"`{c}`") for c in others])
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
+    done = cut_rows(rows, "row", length)
+    kept = F.when(~F.col("row")["_none"], F.col("kept_text"))
+    return done.select(*[
+        kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns
+    ])
 
 
 def run_query(docs: DataFrame) -> DataFrame:
