@@ -8,7 +8,8 @@ lower any slot. Texts of a batch go through the ranks together.
 1. Texts with equal shingle sets are one class, however many there are; a class is represented by its smallest id.
 2. Classes that share a band of signature values meet in a bucket. A bucket never forms its pairs: its members
    are compared with one pivot. Links found so far are united, and only buckets that still hold several
-   components go on: to other pivots first, and what is left then is compared pair by pair, one pair once.
+   components go on: to another pivot first, then to an exact way for the rest. Buckets of up to 8 give their open
+   pairs; larger ones are compared in blocks, inside tasks, by sampled shingle sets, and give possible links only.
 3. Links are confirmed on full shingle sets: 100 * intersection >= percent * union. Pairs whose sizes or signatures
    rule that out are not fetched; the signature test lets pairs pass that are five standard deviations lower.
 
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cycle_analytics.llm.common import only, slices
-from cycle_analytics.llm.components import components
+from cycle_analytics.llm.components import Forest, components
 from cycle_analytics.session import written
 
 SLOTS = 128
 BANDS = 32
 PERCENT = 80
 PIVOT_ROUNDS = 2
+SMALL_BUCKET = 8
+SAMPLE = 512
 CACHED_WORDS = 500_000
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 S27, S30, S31, S32, S56, S8 = (np.uint64(k) for k in (27, 30, 31, 32, 56, 8))
@@ -199,29 +202,127 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Bucket rows (key, rep, root) of the buckets that hold more than one component."""
     rooted = buckets.join(roots, buckets["rep"] == roots["node"], "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root")
+        "key", "rep", "weight", F.coalesce("root", "rep").alias("root")
     )
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     return rooted.join(several.select("key"), "key", "left_semi")
 
 
 def pivot_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Every member of a bucket with the bucket's pivot of this turn, if they are in different components."""
-    drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
+    """Every member of a bucket with the bucket's pivot of this turn, if they are in different components.
+
+    The first pivot is the member that meets most others over all its buckets: the text that copies were made from.
+    """
+    order = -F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    drawn = F.struct(order.alias("draw"), F.col("rep").alias("p"), F.col("root").alias("p_root"))
     pivots = rows.groupBy("key").agg(F.min(drawn).alias("pivot")).select("key", "pivot.p", "pivot.p_root")
     return rows.join(pivots, "key").where("root <> p_root").select(
         F.least("rep", "p").alias("low"), F.greatest("rep", "p").alias("high")
     )
 
 
-def remaining_pairs(rows: DataFrame) -> DataFrame:
-    """What is left in buckets after all pivots: pairs of different components."""
-    other = rows.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
-    return rows.join(other, "key").where("rep < other AND root <> other_root").select(
+def small_bucket_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most `SMALL_BUCKET` members."""
+    small = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") <= SMALL_BUCKET).select("key")
+    mine = rows.join(small, "key", "left_semi")
+    other = mine.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
+    return mine.join(other, "key").where("rep < other AND root <> other_root").select(
         F.col("rep").alias("low"), F.col("other").alias("high")
     )
 
 
+def samples(texts: DataFrame, words: int) -> DataFrame:
+    """rep, n, level, sample: the shingle hashes below 2^(32 - level), of which there are about 512 at most."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+                levels = [max(0, (len(s) // SAMPLE).bit_length()) for s in sets]
+                short = [(mixed(s) >> S32).astype(np.uint32) for s in sets]
+                kept = [h if not v else h[h < (1 << (32 - v))] for h, v in zip(short, levels)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(levels, pa.int32()),
+                     pa.array([k.tobytes() for k in kept], pa.binary())],
+                    names=["rep", "n", "level", "sample"],
+                )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(draw, f"rep {kind}, n long, level int, sample binary")
+
+
+def sampled_pairs(mine: list[int], other: list[int], n: np.ndarray, level: int, sets: list[np.ndarray], percent: int):
+    """Pairs (i, j) whose sampled sets leave a link possible; all pairs of the two lists by one matrix product."""
+    rows = sorted({*mine, *other})
+    place = {row: k for k, row in enumerate(rows)}
+    cut = [sets[r] if level == 0 else sets[r][sets[r] < (1 << (32 - level))] for r in rows]
+    values, column, times = np.unique(np.concatenate(cut), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in cut])
+    several = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    owner, column = owner[several], number[column[several]]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int((times > 1).sum()), 4096):
+        here = (column >= at) & (column < at + 4096)
+        dense = np.zeros((len(rows), 4096), np.float32)
+        dense[owner[here], column[here] - at] = 1
+        common += dense @ dense.T
+    size = np.array([len(c) for c in cut], np.float32)
+    union = size[:, None] + size[None, :] - common
+    share = percent / 100
+    least = share - (0.001 if level == 0 else 5 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))
+    fits = common >= least * union
+    sizes = n[rows]
+    fits &= np.minimum(sizes[:, None], sizes[None, :]) * 100 >= np.maximum(sizes[:, None], sizes[None, :]) * percent
+    a, b = [place[m] for m in mine], [place[o] for o in other]
+    found = np.nonzero(fits[np.ix_(a, b)])
+    return [(mine[i], other[j]) for i, j in zip(*found)]
+
+
+def large_bucket_pairs(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Possible links between different components in the larger buckets, without forming their pairs as rows.
+
+    Members are dealt into blocks of about 1,024; a task sees two blocks and gives only pairs that their sampled
+    shingle sets do not rule out, and of exact sets only those that unite what it has not united yet.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
+    mine = rows.join(sizes, "key").withColumn("blocks", F.expr("(size + 1023) div 1024"))
+    members = mine.select(F.col("rep").alias("id")).distinct()
+    cards = written(samples(texts.join(members, "id", "left_semi"), words), "bucket-samples")
+    dealt = mine.join(cards, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    paired = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    grouped = paired.select(
+        "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+        "block", "rep", "root", "n", "level", "sample",
+    )
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        rep, root = block.column("rep").to_pylist(), block.column("root").to_pylist()
+        side, levels = block.column("block").to_pylist(), np.array(block.column("level").to_pylist())
+        n = np.array(block.column("n").to_pylist(), np.int64)
+        sets = [np.frombuffer(s, np.uint32) for s in block.column("sample").to_pylist()]
+        first, second = block.column("first")[0].as_py(), block.column("second")[0].as_py()
+        forest, out = Forest(), []
+        for level in sorted(set(levels.tolist())):
+            near = [i for i in range(len(rep)) if levels[i] in (level, level - 1)]
+            now = [i for i in near if levels[i] == level]
+            found = sampled_pairs(now, near, n, int(level), sets, percent)
+            for i, j in found:
+                if root[i] == root[j] or {side[i], side[j]} != {first, second} or (levels[j] == level and i >= j):
+                    continue
+                if level == 0:
+                    if forest.root(root[i]) == forest.root(root[j]):
+                        continue
+                    forest.unite(root[i], root[j])
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        kind = block.schema.field("rep").type
+        return pa.table({"low": pa.array([o[0] for o in out], kind), "high": pa.array([o[1] for o in out], kind)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return grouped.groupBy("key", "first", "second").applyInArrow(compare, f"low {kind}, high {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT,
     bands: int = BANDS,
@@ -237,20 +338,26 @@ def near_duplicates(
         "classes",
     )
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    buckets = written(keyed.join(shared.select("key"), "key", "left_semi"), "buckets")
-    members = buckets.select(F.col("rep").alias("id")).distinct()
-    texts = written(rows.join(members, "id", "left_semi"), "candidates")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = written(keyed.join(shared, "key"), "buckets")
+    weights = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    buckets = met.drop("size").join(weights, "rep")
+    texts = written(rows.join(weights.select(F.col("rep").alias("id")), "id", "left_semi"), "candidates")
     cards = classes.select("rep", "n", "marks")
     links = tested = None
-    roots = buckets.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
+    roots = met.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
     for turn in range(PIVOT_ROUNDS + 1):
         rest = unresolved(buckets, roots)
-        asked = pivot_pairs(rest, turn) if turn < PIVOT_ROUNDS else remaining_pairs(rest)
-        asked = asked.distinct()
+        if turn < PIVOT_ROUNDS:
+            asked = likely(pivot_pairs(rest, turn).distinct(), cards, percent)
+        else:
+            rest = written(rest, "open-buckets")
+            asked = likely(small_bucket_pairs(rest).distinct(), cards, percent).unionAll(
+                large_bucket_pairs(rest, texts, words, percent)
+            ).distinct()
         if tested is not None:
             asked = asked.join(tested, ["low", "high"], "left_anti")
-        pairs = written(likely(asked, cards, percent), "pairs")
+        pairs = written(asked, "pairs")
         found = written(confirmed(pairs, texts, words, percent), "confirmed")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = found if links is None else links.unionAll(found)

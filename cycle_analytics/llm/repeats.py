@@ -204,9 +204,10 @@ def window_marks(big_rows: DataFrame, length: int) -> DataFrame:
 def marks_of(rows: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Runs of window starts whose bytes also start anywhere else: id, th, begin, n. Rows: id, th, text."""
     listed = written(spans(rows, length), "spans")
-    anchors = listed.groupBy("anchor").agg(
+    # Written first: a join of two plain exchanges is one that Spark splits where an anchor is frequent.
+    anchors = written(listed.groupBy("anchor").agg(
         F.count("*").alias("times"), F.min("digest").alias("a"), F.max("digest").alias("b")
-    ).where("times > 1").select("anchor", F.expr("a <> b").alias("mixed"))
+    ).where("times > 1").select("anchor", F.expr("a <> b").alias("mixed")), "shared-anchors")
     shared = written(listed.join(anchors, "anchor"), "shared-spans")
     alike = shared.where("NOT mixed").select("id", "th", F.col("start").alias("begin"), F.col("n").cast("long").alias("n"))
     groups = written(
