@@ -69,17 +69,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = usable.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # At most `max_rows` ids and labels.
-    met = rows.join(F.broadcast(chosen), "id").select("label", "text")
+    met = rows.join(F.broadcast(chosen), "id").select("label", "text", F.xxhash64("text").alias("th"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
                 words = [sorted(features_of(t)) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["label", "words"]
+                    [batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], names=["label", "words", "th"]
                 )
 
-    return met.mapInArrow(cut, "label int, words array<string>").distinct()
+    once = met.mapInArrow(cut, "label int, words array<string>, th long").dropDuplicates(["label", "th"])
+    return once.select("label", "words")
 
 
 def telling_features(rows: DataFrame, max_words: int) -> list[str]:
