@@ -52,8 +52,10 @@ def _key(ring: DataFrame, key_id: str) -> Column:
 
 
 def chunk_identity(*parts: str) -> Column:
-    """Authenticated data that ties a chunk to its place."""
-    return F.concat_ws("|", *[F.col(p).cast("string") for p in parts]).cast("binary")
+    """Authenticated data that ties a chunk to its place; lengths keep neighbouring parts apart, NULL is a part too."""
+    values = [F.col(p).cast("string") for p in parts]
+    sized = [F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]
+    return F.concat_ws("|", *sized).cast("binary")
 
 
 def encrypted(

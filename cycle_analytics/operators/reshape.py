@@ -32,9 +32,9 @@ def wide_to_long(df: DataFrame, ids: list[str], dims: dict[str, str], units: dic
 
 
 def shown(long: DataFrame, units: DataFrame, digits: int = 4) -> DataFrame:
-    """Values in display units; units without an entry stay as they are. The table has a handful of rows."""
+    """Values in display units; units without an entry stay as they are. Spark sizes the join."""
     return (
-        long.join(F.broadcast(units), "unit", "left")
+        long.join(units, "unit", "left")
         .withColumn("shown_value", F.round(F.col("value") / F.coalesce("divisor", F.lit(1.0)), digits))
         .withColumn("shown_unit", F.coalesce("shown_unit", "unit"))
         .drop("divisor")

@@ -16,10 +16,13 @@ _PLACE = r"/([^/]+)/([^/]+)/(.+)$"
 def placed_files(df: DataFrame, root: str, path: str = "path") -> DataFrame:
     """chain, cycle and relative path from a path below `root`.
 
-    Folders may be plain or named key=value; dot folders do not count.
+    Folders may be plain or named key=value; dot folders do not count. The root ends where its text stands first,
+    so folders below may repeat it.
     """
-    anchor = root.rstrip("/").split(":")[-1].lstrip("/") + "/"
-    below = F.concat(F.lit("/"), F.substring_index(F.col(path), anchor, -1))
+    anchor = "/" + root.rstrip("/").split(":")[-1].strip("/") + "/"
+    plain = F.concat(F.lit("/"), F.regexp_replace(F.col(path), "^[A-Za-z][A-Za-z0-9+.-]*:/+|^/+", ""))
+    place = F.locate(anchor, plain)
+    below = F.when(place > 0, F.substring(plain, place + len(anchor) - 1, F.length(plain)))
     keyed = df.withColumns(
         {
             "chain_v": F.regexp_replace(F.regexp_extract(below, _PLACE, 1), "^chain_v=", ""),

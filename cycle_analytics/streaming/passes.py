@@ -7,6 +7,7 @@ depends only on ledger rows, so a pass that stopped half-way is taken up by the
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,7 +116,7 @@ def replicate(store: Store, target: str, uri: str, batch_id: int) -> bool:
             rows = store.upto(name, batch_id).join(waiting, KEY, "left_semi")
             rows.write.mode("overwrite").parquet(f"{uri.rstrip('/')}/{name}/batch={batch_id}")
         return True
-    except (PySparkException, OSError):
+    except (PySparkException, Py4JJavaError, OSError):  # a failed write in the JVM is the second kind
         return False
 
 
@@ -128,7 +129,7 @@ def ledger_rows(store: Store, sent: list[str], targets: list[str], batch_id: int
     def stamped(df: DataFrame, stage: str, target: str | None, reused) -> DataFrame:
         return df.select(
             *KEY, F.lit(stage).alias("stage"), F.lit(target).cast("string").alias("target"), now.alias("at"),
-            F.lit(0.0).alias("seconds"), reused.alias("reused"),
+            F.lit(None).cast("double").alias("seconds"), reused.alias("reused"),
         )
 
     catalog = store.upto("catalog", batch_id).select(*KEY)
