@@ -19,6 +19,7 @@ Extra columns are left alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,37 +36,61 @@ WINDOW = 4096
 UNIT = 65536
 END_ID = 2
 LEVEL = 1024
-CACHED_WORDS = 400_000
+CACHED_CHUNKS = 400_000
 # What the vocabulary's own rule takes as one word.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
 # Beyond these characters, and around special strings, the library sees the whole text.
-UNUSUAL = regex.compile(r"[^\u0000-ÿ‐-‧€]|<\|")
+UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\xff\u2010-\u2027\u20ac]|<\|")
 
 
 class Encoder:
-    """Ids of whole texts; words that were seen before come from memory."""
+    """Ids of whole texts. No word crosses a blank, so what stands between blanks is looked up if it was seen before.
+
+    What a text brings anew goes to the library in one call, and its ids are told apart by the ids that end words.
+    Of two generations of remembered chunks the older one is dropped when the younger one is full.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-
-    def word(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-            if len(word) <= 64:
-                self.known[word] = ids
-        return ids
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks."""
+        ids = self.direct(" ".join(chunks))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        words = np.cumsum([len(WORDS.findall(chunk)) for chunk in chunks])
+        if not len(stops) or len(stops) != words[-1] or stops[-1] != len(ids):
+            return {chunk: self.direct(chunk).tobytes() for chunk in chunks}
+        width, whole = ids.itemsize, ids.tobytes()
+        cuts = [0, *(stops[words - 1] * width).tolist()]
+        return {chunk: whole[a:b] for chunk, a, b in zip(chunks, cuts, cuts[1:])}
 
     def ids(self, text: str) -> bytes:
         if UNUSUAL.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.word, WORDS.findall(text.lower())))
+            return self.direct(text).tobytes()
+        chunks = text.lower().split()
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            new = {c for c, ids in zip(chunks, found) if ids is None}
+            again = {c: self.older[c] for c in new if c in self.older}
+            fresh = [c for c in new if c not in again]
+            if fresh:
+                again.update(self.learn(fresh))
+            found = [again[c] if ids is None else ids for c, ids in zip(chunks, found)]
+            if len(self.known) >= CACHED_CHUNKS:
+                self.known, self.older = {}, self.known
+            self.known.update((c, ids) for c, ids in again.items() if len(c) <= 64)
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -188,11 +213,12 @@ def placed(rounds: DataFrame, window: int) -> DataFrame:
 
 
 def cut_documents(parts: DataFrame, queues: DataFrame, window: int, kind: str) -> DataFrame:
-    """Documents cut at round borders: queue, round, id, first (place in the queue), start, n, doc_tokens, ids (4 bytes each)."""
+    """Documents cut at round borders: queue, round, id, first (place in the queue), start, n, doc_tokens, ids, width (bytes of an id)."""
     sums = parts.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carry"))
-    rated = carried.join(queues.select("queue", "weight"), "queue")
+    # Of a written frame Spark knows the size before it plans the join, and shuffles no ids for a small one.
+    rated = written(carried.join(queues.select("queue", "weight"), "queue"), "packing-parts")
     rows = parts.join(rated, ["part", "queue"]).select(
         "queue", "id", (F.col("carry") + F.col("start")).alias("first"), "n", "weight", "width", "ids"
     )
@@ -206,7 +232,6 @@ def cut_documents(parts: DataFrame, queues: DataFrame, window: int, kind: str) -
                     rate = weight * window
                     low, high = -(-(first + 1) * UNIT // rate) - 1, -(-(first + n) * UNIT // rate) - 1
                     borders = sorted({(r * rate) // UNIT for r in range(low + 1, high + 1)}) if high > low else []
-                    wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                     begin = first
                     for stop in [*(b for b in borders if first < b < first + n), first + n]:
                         picked.append(row)
@@ -215,21 +240,36 @@ def cut_documents(parts: DataFrame, queues: DataFrame, window: int, kind: str) -
                         out["start"].append(begin - first)
                         out["n"].append(stop - begin)
                         out["doc_tokens"].append(n)
-                        out["ids"].append(wide[begin - first : stop - first].tobytes())
+                        out["ids"].append(ids[(begin - first) * width : (stop - first) * width])
                         begin = stop
                 rows_taken = pa.array(picked, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows_taken), batch.column(1).take(rows_taken),
                      *(pa.array(out[c], pa.int64()) for c in ("round", "first", "start", "n", "doc_tokens")),
-                     pa.array(out["ids"], pa.binary())],
-                    names=["queue", "id", "round", "first", "start", "n", "doc_tokens", "ids"],
+                     pa.array(out["ids"], pa.binary()), batch.column(5).take(rows_taken)],
+                    names=["queue", "id", "round", "first", "start", "n", "doc_tokens", "ids", "width"],
                 )
 
     return rows.mapInArrow(
-        cut, f"queue string, id {kind}, round long, first long, start long, n long, doc_tokens long, ids binary"
+        cut, f"queue string, id {kind}, round long, first long, start long, n long, doc_tokens long, ids binary, width int"
     )
 
 
+def widened(pieces: DataFrame) -> DataFrame:
+    """`token_ids` as little-endian unsigned 32-bit numbers; `width` goes."""
+    place, kept = pieces.columns.index("token_ids"), [k for k, c in enumerate(pieces.columns) if c != "width"]
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [
+                np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+                for ids, width in zip(batch.column("token_ids").to_pylist(), batch.column("width").to_pylist())
+            ]
+            yield batch.set_column(place, "token_ids", pa.array(wide, pa.binary())).select(kept)
+
+    return pieces.mapInArrow(widen, pieces.drop("width").schema)
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     targets: DataFrame | None = None, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None,
@@ -242,7 +282,7 @@ def pack(
     parts = written(
         encoded(docs, id_col, text_col, source_col, vocabulary or default_vocabulary(), end_id), "packing-ids"
     )
-    queues = queues_of(parts, targets, window)
+    queues = written(queues_of(parts, targets, window), "packing-queues")
     laid = placed(rounds_of(queues, window), window).select(
         "queue", "round", F.col("first").alias("seg_first"), F.col("held").alias("seg_held"), "sequence_id", "offset"
     )
@@ -251,12 +291,12 @@ def pack(
     met = cut.join(laid, ["queue", "round"]).withColumn("low", low).withColumn(
         "length", F.least(F.col("first") + F.col("n"), F.col("seg_first") + F.col("seg_held")) - F.col("low")
     ).where("length > 0")
-    return met.select(
+    return widened(met.select(
         F.col("id").alias(id_col), (F.col("start") + F.col("low") - F.col("first")).alias("start"), "length",
-        F.expr("substring(ids, int(4 * (low - first) + 1), int(4 * length))").alias("token_ids"), "doc_tokens",
+        F.expr("substring(ids, int(width * (low - first) + 1), int(width * length))").alias("token_ids"), "doc_tokens",
         F.expr("substring(queue, 2)").alias("source_queue"), "sequence_id",
-        (F.col("offset") + F.col("low") - F.col("seg_first")).alias("offset"),
-    )
+        (F.col("offset") + F.col("low") - F.col("seg_first")).alias("offset"), "width",
+    ))
 
 
 def run_query(docs: DataFrame) -> DataFrame:
