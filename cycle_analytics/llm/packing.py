@@ -40,8 +40,22 @@ CACHED_CHUNKS = 400_000
 # What the vocabulary's own rule takes as one word.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
-# Beyond these characters, and around special strings, the library sees the whole text.
-UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\xff\u2010-\u2027\u20ac]|<\|")
+# With these in it, or with characters beyond the usual ones, the library sees the whole text.
+SPECIAL = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+UNUSUAL = re.compile(r"[^\x00-\xff\u2010-\u2027\u20ac]")
+
+
+def is_usual(text: str) -> bool:
+    """Whether blanks and words are told apart here as the library does. Most texts are decided without a pattern."""
+    if any(part in text for part in SPECIAL):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not UNUSUAL.search(text)
 
 
 class Encoder:
@@ -76,7 +90,7 @@ class Encoder:
         return {chunk: whole[a:b] for chunk, a, b in zip(chunks, cuts, cuts[1:])}
 
     def ids(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if not is_usual(text):
             return self.direct(text).tobytes()
         chunks = text.lower().split()
         found = list(map(self.known.get, chunks))
