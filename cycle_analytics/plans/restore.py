@@ -12,7 +12,8 @@ from cycle_analytics.operators.asof import latest_before
 from cycle_analytics.operators.ledger import valid_catalog
 from cycle_analytics.sources.sinks import append_csv, replace_partitions
 
-IDENTITY = ["chain_v", "cycle_id", "rel_path", "chunk_no"]
+FILE = ["chain_v", "cycle_id", "rel_path"]
+IDENTITY = [*FILE, "chunk_no"]
 
 
 def restore_plan(requests: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -47,25 +48,49 @@ def opened_packages(plan: DataFrame, artifacts: DataFrame, ring: DataFrame) -> D
     return crypto.decrypted(needed, ring, "artifact", crypto.chunk_identity(*IDENTITY))
 
 
-def package_verdicts(opened: DataFrame) -> DataFrame:
-    """Per cycle: chunks that failed, digests that differ, unsafe paths, and the verdict.
+def file_verdicts(opened: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per sealed file: its chunks, those that are lost, failed or differ, and a status.
 
-    Chunks are checked one by one against the digests that the catalog keeps, so a file of
-    any size is verified without being assembled.
+    `expected` has one row per file as it was sealed (chain_v, cycle_id, rel_path, n_chunks), so a lost chunk, file
+    or cycle is found by what should be there: status ok, missing, incomplete, altered, or unlisted for a file that
+    was never sealed. Chunks are checked one by one, so a file of any size is verified without being assembled.
     """
     failed = F.col("content").isNull()
-    differs = ~failed & (F.sha2("content", 256) != F.col("plain_sha256"))
+    differs = ~failed & ~F.sha2("content", 256).eqNullSafe(F.col("plain_sha256"))
+    # A chunk that was written twice counts once.
+    chunks = opened.groupBy(*IDENTITY).agg(
+        F.bool_or(failed).alias("rejected"), F.bool_or(differs).alias("altered"),
+        F.max(F.length("content")).alias("bytes"), F.max(F.length("artifact")).alias("stored"),
+    )
+    found = chunks.groupBy(*FILE).agg(
+        F.count(F.lit(1)).alias("n_found"), F.max("chunk_no").alias("last_chunk"),
+        F.count_if("rejected").alias("rejected_chunks"), F.count_if("altered").alias("altered_chunks"),
+        F.sum("bytes").alias("file_bytes"), F.sum("stored").alias("stored_bytes"),
+    )
+    sealed = expected.groupBy(*FILE).agg(F.max("n_chunks").alias("n_expected"))
+    counts = ["n_found", "rejected_chunks", "altered_chunks"]
+    joined = sealed.join(found, FILE, "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    status = (
+        F.when(F.col("n_expected").isNull(), "unlisted").when(F.col("n_found") == 0, "missing")
+        .when((F.col("rejected_chunks") > 0) | (F.col("altered_chunks") > 0), "altered")
+        .when((F.col("n_found") != F.col("n_expected")) | (F.col("last_chunk") != F.col("n_expected") - 1), "incomplete")
+        .otherwise("ok")
+    )
+    return joined.withColumn("status", status).drop("last_chunk")
+
+
+def package_verdicts(opened: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per cycle: chunks found, failed and differing, files that are not whole, unsafe paths, and the verdict."""
     unsafe = text.unsafe_path(F.col("rel_path"))
-    return opened.groupBy("chain_v", "cycle_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.count_if(failed).alias("rejected_chunks"),
-        F.count_if(differs).alias("altered_chunks"),
+    return file_verdicts(opened, expected).groupBy("chain_v", "cycle_id").agg(
+        F.sum("n_found").alias("n_chunks"),
+        F.sum("rejected_chunks").alias("rejected_chunks"),
+        F.sum("altered_chunks").alias("altered_chunks"),
+        F.count_if(F.col("status") != "ok").alias("failed_files"),
         F.bool_or(unsafe).alias("has_unsafe_path"),
-        F.sum(F.length("content")).alias("package_bytes"),
-        F.sum(F.length("artifact")).alias("encrypted_bytes"),
-    ).withColumn(
-        "ok", (F.col("rejected_chunks") == 0) & (F.col("altered_chunks") == 0) & ~F.col("has_unsafe_path")
-    )
+        F.sum("file_bytes").alias("package_bytes"),
+        F.sum("stored_bytes").alias("encrypted_bytes"),
+    ).withColumn("ok", (F.col("failed_files") == 0) & ~F.col("has_unsafe_path"))
 
 
 def deliverable(plan: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -77,14 +102,19 @@ def deliverable(plan: DataFrame, verdicts: DataFrame) -> DataFrame:
     return sequence.prefix_ok(judged, ["request_id"], ["replay_order"], "ok")
 
 
-def restore_pass(plan: DataFrame, artifacts: DataFrame, ring: DataFrame, staging: str, telemetry: str) -> DataFrame:
+def restore_pass(
+    plan: DataFrame, artifacts: DataFrame, ring: DataFrame, staging: str, telemetry: str, expected: DataFrame
+) -> DataFrame:
     """Stage the deliverable cycles below `staging`, append telemetry, return the judged plan.
 
-    Cycles are decrypted in parallel; the replay order decides only what is delivered. Staging
+    Cycles are decrypted in parallel; the replay order decides only what is delivered. `expected`
+    has the files as sealed; a cycle that is not whole is not delivered, nor what follows it. Staging
     replaces the partitions of the delivered cycles and leaves all others.
     """
     opened = opened_packages(plan, artifacts, ring)
-    judged = deliverable(plan, package_verdicts(opened))
+    planned = plan.select(F.col("version").alias("chain_v"), "cycle_id")
+    due = expected.join(planned, ["chain_v", "cycle_id"], "left_semi")
+    judged = deliverable(plan, package_verdicts(opened, due))
     delivered = judged.where("prefix_ok").select(F.col("version").alias("chain_v"), "cycle_id").distinct()
     chunks = opened.join(delivered, ["chain_v", "cycle_id"], "left_semi").select(*IDENTITY, "content")
     replace_partitions(chunks, staging, ["chain_v", "cycle_id"])

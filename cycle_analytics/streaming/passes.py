@@ -34,6 +34,7 @@ TABLES = {
     "ready": "chain_v string, cycle_id string",
     "artifacts": "chain_v string, cycle_id string, rel_path string, chunk_no int, plain_bytes int, "
     "plain_sha256 string, key_id string, artifact binary",
+    "sealed": "chain_v string, cycle_id string, rel_path string, n_chunks bigint",
     "catalog": "alg string, chain_v string, cycle_id string, created_at timestamp, n_chunks bigint, "
     "package_bytes bigint, encrypted_bytes bigint",
     "ledger": schemas.LEDGER,
@@ -95,6 +96,7 @@ def seal(store: Store, cycles: DataFrame, ring: DataFrame, batch_id: int) -> Non
     columns = [c.split()[0] for c in TABLES["artifacts"].split(", ")]
     store.write(sealed.select(*columns), "artifacts", batch_id)
     written = store.only("artifacts", batch_id)
+    store.write(written.groupBy(*KEY, "rel_path").agg(F.count(F.lit(1)).alias("n_chunks")), "sealed", batch_id)
     store.write(
         written.groupBy(*KEY).agg(
             F.count(F.lit(1)).alias("n_chunks"), F.sum("plain_bytes").alias("package_bytes"),
@@ -108,11 +110,11 @@ def seal(store: Store, cycles: DataFrame, ring: DataFrame, batch_id: int) -> Non
 
 
 def replicate(store: Store, target: str, uri: str, batch_id: int) -> bool:
-    """Send the target's backlog, artifacts and catalog rows. A failing target is tried again later."""
+    """Send the target's backlog, artifacts, sealed files and catalog rows. A failing target is tried again later."""
     catalog = store.upto("catalog", batch_id)
     waiting = ledger.upload_backlog(catalog, catalog, store.before("ledger", batch_id), [target]).select(*KEY)
     try:
-        for name in ("artifacts", "catalog"):
+        for name in ("artifacts", "sealed", "catalog"):
             rows = store.upto(name, batch_id).join(waiting, KEY, "left_semi")
             rows.write.mode("overwrite").parquet(f"{uri.rstrip('/')}/{name}/batch={batch_id}")
         return True

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cycle_analytics.functions import crypto
 from cycle_analytics.operators import ledger
 from cycle_analytics.operators import chunks
-from cycle_analytics.plans.restore import integrity_report, opened_packages, package_verdicts, restore_pass, restore_plan
+from cycle_analytics.plans.restore import (
+    file_verdicts, integrity_report, opened_packages, package_verdicts, restore_pass, restore_plan,
+)
 from cycle_analytics.sources import packages, telemetry
 from cycle_analytics.streaming import listener, passes, samples, states
 from cycle_analytics.streaming.store import Store
@@ -95,22 +97,56 @@ def test_restore_pass_delivers_the_ok_prefix_only(spark, backed_up, tmp_path):
     plan = restore_plan(requests, catalog)
     assert [(r["cycle_id"], r["replay_order"], r["available"], r["selected"]) for r in plan.orderBy("replay_order").collect()] == [("c1", 1, 2, 2), ("c2", 2, 2, 2)]
     artifacts = store.read("artifacts").drop("batch")
-    judged = restore_pass(plan, artifacts, ring, str(tmp_path / "out"), str(tmp_path / "wf"))
+    judged = restore_pass(plan, artifacts, ring, str(tmp_path / "out"), str(tmp_path / "wf"), store.read("sealed"))
     assert all(r["prefix_ok"] for r in judged.collect())
     staged = spark.read.parquet(str(tmp_path / "out")).where("rel_path = 'd/b.bin'").orderBy("chunk_no").collect()
     assert b"".join(bytes(r["content"]) for r in staged) == b"0123456789"
     assert telemetry.workflow_telemetry(spark, str(tmp_path / "wf")).where("workflow_type = 'restore'").count() == 2
 
     broken = artifacts.withColumn("artifact", F.when((F.col("cycle_id") == "c1") & (F.col("chunk_no") == 1), F.lit(b"x" * 40)).otherwise(F.col("artifact")))
-    verdicts = restore_pass(plan, broken, ring, str(tmp_path / "out2"), str(tmp_path / "wf2")).orderBy("replay_order").collect()
+    verdicts = restore_pass(plan, broken, ring, str(tmp_path / "out2"), str(tmp_path / "wf2"), store.read("sealed")).orderBy("replay_order").collect()
     assert [(r["ok"], r["prefix_ok"]) for r in verdicts] == [(False, False), (True, False)]
 
 
+@pytest.mark.parametrize("lost, status", [
+    ("cycle_id = 'c1' AND rel_path = 'd/b.bin' AND chunk_no = 1", "incomplete"),
+    ("cycle_id = 'c1' AND rel_path = 'd/b.bin' AND chunk_no = 2", "incomplete"),
+    ("cycle_id = 'c1' AND rel_path = 'd/b.bin'", "missing"),
+    ("cycle_id = 'c1'", "missing"),
+])
+def test_a_loss_fails_the_cycle_and_what_follows(spark, backed_up, tmp_path, lost, status):
+    store, _, _, ring = backed_up
+    sealed = store.read("sealed")
+    requests = spark.createDataFrame([("r1", "chain-v1", 5)], "request_id string, version string, chain_n bigint")
+    plan = restore_plan(requests, store.read("catalog").select("chain_v", "cycle_id"))
+    left = store.read("artifacts").drop("batch").where(f"NOT ({lost})")
+    judged = restore_pass(plan, left, ring, str(tmp_path / "out"), str(tmp_path / "wf"), sealed)
+    assert [(r["cycle_id"], r["ok"], r["prefix_ok"]) for r in judged.orderBy("replay_order").collect()] == [
+        ("c1", False, False), ("c2", True, False),
+    ]
+    files = file_verdicts(opened_packages(plan, left, ring), sealed)
+    found = {r["rel_path"]: r["status"] for r in files.where("cycle_id = 'c1'").collect()}
+    assert found["d/b.bin"] == status
+    assert found["a.bin"] == ("missing" if lost == "cycle_id = 'c1'" else "ok")
+
+
+def test_doubled_chunks_are_whole_and_unlisted_files_are_not(spark, backed_up):
+    store, _, _, ring = backed_up
+    plan = store.read("catalog").select(F.col("chain_v").alias("version"), "cycle_id")
+    artifacts = store.read("artifacts").drop("batch")
+    twice = package_verdicts(opened_packages(plan, artifacts.unionAll(artifacts), ring), store.read("sealed"))
+    once = package_verdicts(opened_packages(plan, artifacts, ring), store.read("sealed"))
+    assert sorted(twice.collect()) == sorted(once.collect()) and all(r["ok"] for r in once.collect())
+    fewer = store.read("sealed").where("rel_path <> 'a.bin'")
+    verdicts = package_verdicts(opened_packages(plan, artifacts, ring), fewer)
+    assert {r["cycle_id"]: r["ok"] for r in verdicts.collect()} == {"c1": False, "c2": True}
+
+
 def test_integrity_report(spark, backed_up):
     store, _, _, ring = backed_up
     catalog, artifacts = store.read("catalog").drop("batch"), store.read("artifacts").drop("batch")
     plan = catalog.select(F.col("chain_v").alias("version"), "cycle_id")
-    verdicts = package_verdicts(opened_packages(plan, artifacts, ring))
+    verdicts = package_verdicts(opened_packages(plan, artifacts, ring), store.read("sealed"))
     report = integrity_report(artifacts, verdicts, catalog, ledger.finished(store.read("ledger")))
     assert [(r["cycle_id"], r["passed"]) for r in report.orderBy("cycle_id").collect()] == [("c1", True), ("c2", True)]
     unmarked = integrity_report(artifacts, verdicts, catalog, ledger.finished(store.read("ledger")).where("cycle_id = 'c1'"))
