@@ -19,9 +19,12 @@ Extra columns are left alone.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -76,13 +80,13 @@ class Encoder:
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
     def direct(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks."""
         ids = self.direct(" ".join(chunks))
         stops = np.flatnonzero(self.ends[ids]) + 1
-        words = np.cumsum([len(WORDS.findall(chunk)) for chunk in chunks])
+        words = np.cumsum([1 if chunk.isalpha() else len(WORDS.findall(chunk)) for chunk in chunks])
         if not len(stops) or len(stops) != words[-1] or stops[-1] != len(ids):
             return {chunk: self.direct(chunk).tobytes() for chunk in chunks}
         width, whole = ids.itemsize, ids.tobytes()
@@ -95,12 +99,14 @@ class Encoder:
         chunks = text.lower().split()
         found = list(map(self.known.get, chunks))
         if None in found:
-            new = {c for c, ids in zip(chunks, found) if ids is None}
+            open_ = list(compress(range(len(found)), map(is_, found, repeat(None))))
+            new = {chunks[k] for k in open_}
             again = {c: self.older[c] for c in new if c in self.older}
             fresh = [c for c in new if c not in again]
             if fresh:
                 again.update(self.learn(fresh))
-            found = [again[c] if ids is None else ids for c, ids in zip(chunks, found)]
+            for k in open_:
+                found[k] = again[chunks[k]]
             if len(self.known) >= CACHED_CHUNKS:
                 self.known, self.older = {}, self.known
             self.known.update((c, ids) for c, ids in again.items() if len(c) <= 64)
