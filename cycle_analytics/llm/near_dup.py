@@ -8,7 +8,7 @@ lower any slot. Texts of a batch go through the ranks together.
 1. Texts with equal shingle sets are one class, however many there are; a class is represented by its smallest id.
 2. Classes that share a band of signature values meet in a bucket. A bucket never forms its pairs: its members
    are compared with one pivot. Links found so far are united, and only buckets that still hold several
-   components go on: to another pivot first, then to an exact way for the rest. Buckets of up to 8 give their open
+   components go on, to an exact way for the rest. Buckets of up to 8 give their open
    pairs; larger ones are compared in blocks, inside tasks, by sampled shingle sets, and give possible links only.
 3. Links are confirmed on full shingle sets: 100 * intersection >= percent * union. Pairs whose sizes or signatures
    rule that out are not fetched; the signature test lets pairs pass that are five standard deviations lower.
@@ -38,7 +38,7 @@ from cycle_analytics.session import written
 SLOTS = 128
 BANDS = 32
 PERCENT = 80
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 SMALL_BUCKET = 8
 SAMPLE = 512
 CACHED_WORDS = 500_000
@@ -167,7 +167,7 @@ def likely(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(fits))
 
     kind = pairs.schema["low"].dataType.simpleString()
-    return sized.mapInArrow(test, f"low {kind}, high {kind}").distinct()
+    return sized.mapInArrow(test, f"low {kind}, high {kind}")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -202,7 +202,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Bucket rows (key, rep, root) of the buckets that hold more than one component."""
     rooted = buckets.join(roots, buckets["rep"] == roots["node"], "left").select(
-        "key", "rep", "weight", F.coalesce("root", "rep").alias("root")
+        "key", "rep", F.coalesce("root", "rep").alias("root")
     )
     several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     return rooted.join(several.select("key"), "key", "left_semi")
@@ -341,17 +341,18 @@ def near_duplicates(
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = written(keyed.join(shared, "key"), "buckets")
     weights = met.groupBy("rep").agg(F.sum("size").alias("weight"))
-    buckets = met.drop("size").join(weights, "rep")
+    rest = met.select("key", "rep", F.col("rep").alias("root"))
     texts = written(rows.join(weights.select(F.col("rep").alias("id")), "id", "left_semi"), "candidates")
     cards = classes.select("rep", "n", "marks")
-    links = tested = None
+    tested = None
     roots = met.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
     for turn in range(PIVOT_ROUNDS + 1):
-        rest = unresolved(buckets, roots)
+        if turn:
+            rest = written(unresolved(rest.drop("root"), roots), "open-buckets")
         if turn < PIVOT_ROUNDS:
-            asked = likely(pivot_pairs(rest, turn).distinct(), cards, percent)
+            weighed = rest if turn else rest.join(weights, "rep")
+            asked = likely(pivot_pairs(weighed, turn).distinct(), cards, percent)
         else:
-            rest = written(rest, "open-buckets")
             asked = likely(small_bucket_pairs(rest).distinct(), cards, percent).unionAll(
                 large_bucket_pairs(rest, texts, words, percent)
             ).distinct()
@@ -360,8 +361,9 @@ def near_duplicates(
         pairs = written(asked, "pairs")
         found = written(confirmed(pairs, texts, words, percent), "confirmed")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
+        if not found.isEmpty():
+            # What is already united goes on as one link per member.
+            roots = components(found.unionAll(roots.select(F.col("root").alias("low"), F.col("node").alias("high"))))
     placed = drawn.join(classes.select("set_digest", "rep"), "set_digest", "left").join(
         roots, F.col("rep") == F.col("node"), "left"
     )
