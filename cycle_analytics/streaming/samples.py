@@ -5,33 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cycle_analytics.streaming.store import Store, latest
+from cycle_analytics.streaming.store import Store
 
-# How late a sample may be before its window is closed.
-LATENESS = "10 minutes"
+_VALUE = "_value"
 
 
 def window_stats(stream: DataFrame, ts: str, keys: list[str], value: str, minutes: int) -> DataFrame:
-    """Count, peak and sum per window and key; state is bounded by the watermark."""
-    timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", LATENESS)
-    window = F.window("_at", f"{minutes} minutes")
-    stats = timed.groupBy(window.alias("_w"), *keys).agg(
-        F.count(value).alias("n"), F.max(value).alias("max_value"), F.sum(value).alias("sum_value")
-    )
-    return stats.select(F.col("_w.start").cast("timestamp_ntz").alias("bucket"), *keys, "n", "max_value", "sum_value")
+    """The samples with their window. They are summed batch by batch, so no sample is too late and no state is kept."""
+    window = F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes")
+    placed = stream.select(window.alias("_w"), *keys, F.col(value).alias(_VALUE))
+    return placed.select(F.col("_w.start").cast("timestamp_ntz").alias("bucket"), *keys, _VALUE)
 
 
 def collect_updates(stats: DataFrame, store: Store, name: str, once: bool = True):
-    """Keep every update of every window, batch by batch."""
+    """Keep count, peak and sum of every window that a batch touches."""
 
     def each(rows: DataFrame, batch_id: int) -> None:
-        store.write(rows, name, batch_id)
+        parts = rows.groupBy(*[c for c in rows.columns if c != _VALUE]).agg(
+            F.count(_VALUE).alias("n"), F.max(_VALUE).alias("max_value"), F.sum(_VALUE).alias("sum_value")
+        )
+        store.write(parts, name, batch_id)
 
-    writer = stats.writeStream.outputMode("update").foreachBatch(each)
+    writer = stats.writeStream.outputMode("append").foreachBatch(each)
     writer = writer.option("checkpointLocation", f"{store.root}/checkpoint-{name}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
 def current_windows(store: Store, name: str, keys: list[str]) -> DataFrame:
-    """The last update of each window."""
-    return latest(store.read(name), ["bucket", *keys], ["n", "max_value", "sum_value"])
+    """Count, peak and sum of each window over all batches."""
+    return store.read(name).groupBy("bucket", *keys).agg(
+        F.sum("n").alias("n"), F.max("max_value").alias("max_value"), F.sum("sum_value").alias("sum_value")
+    )

@@ -41,9 +41,3 @@ class Store:
 
     def only(self, name: str, batch_id: int) -> DataFrame:
         return self.read(name).where(F.col("batch") == batch_id).drop("batch")
-
-
-def latest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The newest batch's row per key, for results that are updated batch by batch."""
-    newest = F.max_by(F.struct(*values), "batch").alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")

@@ -188,12 +188,12 @@ def test_sample_windows_over_two_batches(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = {"w": "bucket timestamp_ntz, host string, n bigint, max_value double, sum_value double"}
     store = Store(spark, str(tmp_path / "store"), schema).create()
-    for minutes in ((0, 1, 6), (2, 7)):
+    for minutes in ((0, 1, 6), (2, 7, -600)):  # the last one is ten hours late
         spark.createDataFrame([(t + timedelta(minutes=m), "h", float(m)) for m in minutes], "ts timestamp_ntz, host string, v double").write.mode("append").parquet(folder)
         stream = spark.readStream.schema("ts timestamp_ntz, host string, v double").parquet(folder)
         run(samples.collect_updates(samples.window_stats(stream, "ts", ["host"], "v", 5), store, "w"))
     rows = samples.current_windows(store, "w", ["host"]).orderBy("bucket").collect()
-    assert [(r["n"], r["max_value"], r["sum_value"]) for r in rows] == [(3, 2.0, 3.0), (2, 7.0, 13.0)]
+    assert [(r["n"], r["max_value"], r["sum_value"]) for r in rows] == [(1, -600.0, -600.0), (3, 2.0, 3.0), (2, 7.0, 13.0)]
 
 
 def test_request_outcomes(spark, tmp_path):
