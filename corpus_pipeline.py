@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cycle_analytics.llm import mixing, near_dup, packing, quality, repeats
 from cycle_analytics.session import written
 
+PASSAGE_WORDS = 51
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
@@ -23,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes and more that occur anywhere else."""
-    return repeats.without_repeats(docs)
+    """Cut passages of over 50 words that occur anywhere else."""
+    return repeats.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

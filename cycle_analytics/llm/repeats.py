@@ -12,6 +12,9 @@ under one anchor. The windows of one anchor are consecutive starts; their bytes
    by their 128-bit digests, which Spark counts with partial sums.
 5. Marked windows become byte ranges per document, and the document is cut once.
 
+A length can also be given in words. Every word then stands as 8 bytes, its hash, and the steps above run over
+those; what is found is cut from the first to the last word, so blanks between words need not be the same.
+
 Judgement is on the input: a passage is removed wherever it stands, the first time included. Null and empty texts
 and those shorter than the length have nothing to remove. Rows that are wholly equal repeat each other. Matches
 never cross documents. Where a cut goes through a character, the bytes left of it are dropped from the text that
@@ -20,6 +23,7 @@ never cross documents. Where a cut goes through a character, the bytes left of i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cycle_analytics.llm.common import only, slices
-from cycle_analytics.llm.near_dup import MIX_A, MIX_B, STEP, mixed
+from cycle_analytics.llm.near_dup import MIX_A, MIX_B, STEP, hash_of, mixed
 from cycle_analytics.llm.run_index import RunIndex
 from cycle_analytics.session import written
 
@@ -40,6 +44,28 @@ PIECE = 1 << 22  # positions handled at a time; fits the low bits of a key
 BLOCK_BYTES = 1 << 20
 SPAN_SCHEMA = "id {kind}, th long, anchor long, digest binary, start long, n int"
 LOW = np.uint64((1 << 23) - 1)
+WORD_BYTES = 8
+LEAST_WORDS = ANCHOR // WORD_BYTES
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def as_bytes(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
+def in_words(rows: DataFrame) -> DataFrame:
+    """Rows (id, th, text) with the hashes of the text's words, 8 bytes each, as the text."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2, 2_000_000):
+                split = [text.encode().split() for text in batch.column(2).to_pylist()]
+                coded = [np.fromiter(map(hash_of, words), np.uint64, len(words)).tobytes() for words in split]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["id", "th", "text"]
+                )
+
+    return rows.mapInArrow(code, f"id {rows.schema['id'].dataType.simpleString()}, th long, text binary")
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -87,7 +113,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
             for batch in slices(whole, 2, 2_000_000):
                 picked, found, digests = [], [], []
                 for row, text in enumerate(batch.column(2).to_pylist()):
-                    data = text.encode() if text else b""
+                    data = as_bytes(text) if text else b""
                     if len(data) < length:
                         continue
                     view = memoryview(data)
@@ -127,7 +153,7 @@ def with_bytes(reps: DataFrame, rows: DataFrame, length: int) -> DataFrame:
             for batch in slices(whole, 2, 2_000_000):
                 picked, found, data_of = [], [], []
                 for row, (text, spans_) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                    data = text.encode()
+                    data = as_bytes(text)
                     for span in spans_:
                         picked.append(row)
                         found.append(span)
@@ -256,9 +282,25 @@ def removed(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_rows(rows: DataFrame, carried: str, length: int) -> DataFrame:
+def removed_words(ranges: list[dict] | None, words: int, data: bytes) -> list[tuple[int, int]]:
+    """The same for marks of coded words: byte ranges from the first to the last word."""
+    aligned = []
+    for mark in ranges or ():
+        first, last = -(-mark["begin"] // WORD_BYTES), (mark["begin"] + mark["n"] - 1) // WORD_BYTES
+        if last >= first:
+            aligned.append({"begin": first, "n": last - first + 1})
+    if not aligned:
+        return []
+    places = [found.span() for found in WORD.finditer(data)]
+    return [(places[begin][0], places[end - 1][1]) for begin, end in removed(aligned, words)]
+
+
+def cut_rows(rows: DataFrame, carried: str, length: int, words: int | None = None) -> DataFrame:
     """Cut the texts of rows (id, th, text, and the column `carried`): carried, n_bytes, ..., kept_text."""
-    marks = marks_of(rows.select("id", "th", "text"), length)
+    if words is not None and words < LEAST_WORDS:
+        raise ValueError(f"a passage needs {LEAST_WORDS} words at least")
+    plain = rows.select("id", "th", "text")
+    marks = marks_of(plain, length) if words is None else marks_of(in_words(plain), words * WORD_BYTES)
     met = with_ranges(rows, marks).select(carried, F.col("text").alias("cut_text"), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +308,8 @@ def cut_rows(rows: DataFrame, carried: str, length: int) -> DataFrame:
             for batch in slices(whole, 1):
                 out = []
                 for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    data, gone, at, kept = text.encode(), removed(ranges, length), 0, []
+                    data, at, kept = text.encode(), 0, []
+                    gone = removed(ranges, length) if words is None else removed_words(ranges, words, data)
                     for begin, end in gone:
                         kept.append(data[at:begin])
                         at = end
@@ -293,13 +336,18 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cut_rows(keyed(docs, id_col, text_col), "id", length).withColumnRenamed("id", id_col)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """The rows with their own columns, repeated passages cut out of the text. A null text stays null."""
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None
+) -> DataFrame:
+    """The rows with their own columns, repeated passages cut out of the text. A null text stays null.
+
+    With `words`, passages of so many words and more count, whatever bytes they have.
+    """
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     row = F.struct(F.col(f"`{text_col}`").isNull().alias("_none"), *[F.col(f"`{c}`") for c in others])
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
-    done = cut_rows(rows, "row", length)
+    done = cut_rows(rows, "row", length, words)
     kept = F.when(~F.col("row")["_none"], F.col("kept_text"))
     return done.select(*[
         kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns

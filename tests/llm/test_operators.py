@@ -106,6 +106,36 @@ def test_cut_keeps_rows_and_columns(odd):
     assert by_id(cut)[2].text is None and by_id(cut)[1].text == ODD[0][1]
 
 
+def words_cut_by_hand(texts, width):
+    split, seen = [t.split() for t in texts], Counter()
+    for words in split:
+        seen.update(tuple(words[k : k + width]) for k in range(len(words) - width + 1))
+    out = []
+    for words in split:
+        gone = {k + j for k in range(len(words) - width + 1) if seen[tuple(words[k : k + width])] > 1 for j in range(width)}
+        out.append([w for k, w in enumerate(words) if k not in gone])
+    return out
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    prose = lambda n, least=2, most=9: [
+        "".join(draw.choice("abcdefghijklmnopqé") for _ in range(draw.randint(least, most))) for _ in range(n)
+    ]
+    shared, short, tiny, exact = prose(55, 4, 5), prose(50), prose(51, 1, 1), prose(51, 9, 12)
+    assert len(" ".join(shared).encode()) < 400 and len(" ".join(tiny).encode()) < 128
+    texts = [" ".join(prose(40) + part + prose(30)) for part in [shared] * 4 + [short] * 3 + [tiny] * 2 + [exact] * 2]
+    texts += ["\n".join(prose(20) + shared), " ".join(prose(10) + shared[:50] + ["else"] + shared[50:]), " ".join(shared[:30] + exact[21:]), "", " \n", "same " * 80]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(None, texts[0], "en", "a"), (99, None, "en", "a")]
+    got = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()
+    want = words_cut_by_hand([r[1] or "" for r in rows], 51)
+    assert sorted(((r.doc_id, (r.text or "").split()) for r in got), key=str) == sorted(((r[0], w) for r, w in zip(rows, want)), key=str)
+    found = {r.doc_id: r.text for r in got}
+    assert " ".join(shared) not in found[1] and " ".join(short) in found[4] and found[99] is None
+
+
 def linked_by_hand(docs):
     sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in docs}
     parent = {i: i for i in sets}
