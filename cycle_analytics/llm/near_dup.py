@@ -231,16 +231,22 @@ def small_bucket_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def upper_halves(hashes: np.ndarray, level: int) -> np.ndarray:
+    short = (mixed(hashes) >> S32).astype(np.uint32)
+    return short[short < (1 << (32 - level))]
+
+
 def samples(texts: DataFrame, words: int) -> DataFrame:
-    """rep, n, level, sample: the shingle hashes below 2^(32 - level), of which there are about 512 at most."""
+    """rep, n, level, sample: all shingle hashes in 64 bits (level 0, fewer than 512), or the upper halves of those
+    below 2^(32 - level), of which there are about 512 at most.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
                 sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
                 levels = [max(0, (len(s) // SAMPLE).bit_length()) for s in sets]
-                short = [(mixed(s) >> S32).astype(np.uint32) for s in sets]
-                kept = [h if not v else h[h < (1 << (32 - v))] for h, v in zip(short, levels)]
+                kept = [s if not v else upper_halves(s, v) for s, v in zip(sets, levels)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(levels, pa.int32()),
                      pa.array([k.tobytes() for k in kept], pa.binary())],
@@ -252,10 +258,16 @@ def samples(texts: DataFrame, words: int) -> DataFrame:
 
 
 def sampled_pairs(mine: list[int], other: list[int], n: np.ndarray, level: int, sets: list[np.ndarray], percent: int):
-    """Pairs (i, j) whose sampled sets leave a link possible; all pairs of the two lists by one matrix product."""
+    """Pairs (i, j) whose sampled sets leave a link possible; all pairs of the two lists by one matrix product.
+
+    Level 0 holds whole sets, and its pairs are links.
+    """
     rows = sorted({*mine, *other})
     place = {row: k for k, row in enumerate(rows)}
-    cut = [sets[r] if level == 0 else sets[r][sets[r] < (1 << (32 - level))] for r in rows]
+    cut = [
+        sets[r] if level == 0 else upper_halves(sets[r], level) if sets[r].dtype == np.uint64
+        else sets[r][sets[r] < (1 << (32 - level))] for r in rows
+    ]
     values, column, times = np.unique(np.concatenate(cut), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in cut])
     several = times[column] > 1
@@ -269,9 +281,11 @@ def sampled_pairs(mine: list[int], other: list[int], n: np.ndarray, level: int,
         common += dense @ dense.T
     size = np.array([len(c) for c in cut], np.float32)
     union = size[:, None] + size[None, :] - common
-    share = percent / 100
-    least = share - (0.001 if level == 0 else 5 * np.sqrt(share * (1 - share) / np.maximum(union, 1)))
-    fits = common >= least * union
+    if level == 0:
+        fits = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
+    else:
+        share = percent / 100
+        fits = common >= (share - 5 * np.sqrt(share * (1 - share) / np.maximum(union, 1))) * union
     sizes = n[rows]
     fits &= np.minimum(sizes[:, None], sizes[None, :]) * 100 >= np.maximum(sizes[:, None], sizes[None, :]) * percent
     a, b = [place[m] for m in mine], [place[o] for o in other]
@@ -283,7 +297,8 @@ def large_bucket_pairs(rows: DataFrame, texts: DataFrame, words: int, percent: i
     """Possible links between different components in the larger buckets, without forming their pairs as rows.
 
     Members are dealt into blocks of about 1,024; a task sees two blocks and gives only pairs that their sampled
-    shingle sets do not rule out, and of exact sets only those that unite what it has not united yet.
+    shingle sets do not rule out. Of whole sets it gives links alone, and only those that unite what it has not
+    united yet; a pair that is no link must unite nothing, or links after it would be lost.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET)
     mine = rows.join(sizes, "key").withColumn("blocks", F.expr("(size + 1023) div 1024"))
@@ -301,7 +316,7 @@ def large_bucket_pairs(rows: DataFrame, texts: DataFrame, words: int, percent: i
         rep, root = block.column("rep").to_pylist(), block.column("root").to_pylist()
         side, levels = block.column("block").to_pylist(), np.array(block.column("level").to_pylist())
         n = np.array(block.column("n").to_pylist(), np.int64)
-        sets = [np.frombuffer(s, np.uint32) for s in block.column("sample").to_pylist()]
+        sets = [np.frombuffer(s, np.uint32 if v else np.uint64) for s, v in zip(block.column("sample").to_pylist(), levels)]
         first, second = block.column("first")[0].as_py(), block.column("second")[0].as_py()
         forest, out = Forest(), []
         for level in sorted(set(levels.tolist())):

@@ -168,6 +168,21 @@ def test_near_duplicates_match_brute_force(spark, rounds, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == linked_by_hand(docs)
 
 
+def test_a_pair_just_below_the_threshold_hides_no_link(spark):
+    common = [f"c{k}" for k in range(399)]
+    own = lambda name, n: [f"{name}{k}" for k in range(n)]
+    docs = {k: common + own(f"a{k}x", 50) for k in range(1, 10)}
+    docs[50] = common + own("b", 50)
+    docs[20] = common + own("b", 41) + own("y", 9)
+    assert 100 * 399 < 80 * 499 and 399 / 499 > 0.799
+    texts = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "id long, text string").coalesce(1)
+    rows = spark.createDataFrame([(1, k, 50 if k == 50 else 1) for k in docs], "key long, rep long, root long")
+    assert {tuple(r) for r in near_dup.large_bucket_pairs(rows, texts, 1, 80).collect()} == {(20, 50)}
+    sets = [near_dup.shingle_set(" ".join(t), 1) for t in (docs[1], docs[50], docs[20])]
+    n = np.array([len(s) for s in sets])
+    assert near_dup.sampled_pairs([0, 1], [1, 2], n, 0, sets, 80) == [(1, 1), (1, 2)]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = near_dup.run_query(odd).collect()
     assert len(rows) == len(ODD)
