@@ -30,7 +30,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that source, language and topic approach their target weights."""
+    """Sample documents so that source, language and topic have their target weights; small groups may be repeated."""
     return mixing.keep_sampled(docs)
 
 

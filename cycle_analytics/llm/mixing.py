@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are summed into cells (source, language, topic). Each sweep scales the cells so that one marginal after
-the other has its target tokens; after enough sweeps all of them do. A document is then sampled with its cell's
-calibrated probability: one scale for all cells, at most 1, such that the expected tokens meet the budget. What a
-probability cannot express because it is capped at 1 is given as the `weight` of the document.
+the other has its target tokens; after enough sweeps all of them do. One scale for all cells then makes the expected
+tokens meet the budget. A cell's factor times the scale is the mean number of copies of its documents: up to 1 it is
+the `probability`, above 1 the `weight`, and the other of the two is 1. A document gets the whole part of it as
+copies, and one more with the rest as the chance, so the sample has the target shares also where factors exceed 1.
 
 Only cells go through the sweeps; the pass over documents is one aggregation and one join. A cell's rows are not
 gathered. The scale and the largest error of a sweep are single numbers.
@@ -107,19 +108,11 @@ def fitted(cells: DataFrame, margins: list[str]) -> DataFrame:
 
 
 def scale_for(cells: DataFrame, budget: float) -> float:
-    """The scale that makes the expected tokens of capped probabilities meet the budget."""
+    """The scale that makes the expected tokens of all copies meet the budget."""
     total, raked = cells.select(
         F.sum("tokens").cast("double"), F.sum(F.col("tokens") * F.col("factor"))
     ).first()
-    if not total or not raked:
-        return 1.0
-    scale = budget * total / raked
-    for _ in range(30):
-        expected = cells.select(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0]
-        if expected >= budget * total * (1 - TOLERANCE):
-            break
-        scale *= budget * total / expected
-    return scale
+    return budget * total / raked if total and raked else 1.0
 
 
 def mixture(
@@ -150,7 +143,7 @@ def drawn(id_: Column, seed: int = SEED) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
-    """All rows as `row` with source, lang, topic, tokens, probability, weight and whether they are sampled."""
+    """All rows as `row` with source, lang, topic, tokens, probability, weight, whether they are sampled, and copies."""
     cells = mixture(docs, text_col, source_col, lang_col, **options).select(
         F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"),
         "probability", "weight",
@@ -162,19 +155,23 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         rows["source"].eqNullSafe(cells["c_source"]) & rows["lang"].eqNullSafe(cells["c_lang"])
         & (rows["topic"] == cells["c_topic"])
     )
+    mean = F.col("probability") * F.col("weight")
+    whole = F.floor(mean)
+    copies = whole + (drawn(F.col("row")[id_col]) < mean - whole).cast("long")
     return rows.join(cells, same).select(
         "row", "source", "lang", "topic", "tokens", "probability", "weight",
-        (drawn(F.col("row")[id_col]) < F.col("probability")).alias("sampled"),
+        (copies > 0).alias("sampled"), copies.alias("copies"),
     )
 
 
 def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows with their own columns."""
-    return sample(docs, **options).where("sampled").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The sampled rows with their own columns, each as often as it has copies."""
+    taken = sample(docs, **options).where("sampled").select("row", F.explode(F.expr("sequence(1L, copies)")))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def run_query(docs: DataFrame) -> DataFrame:
     return sample(only(docs, "doc_id", "text", "source", "lang")).select(
         F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", F.col("tokens").alias("n_tokens"),
-        "probability", "weight", "sampled",
+        "probability", "weight", "sampled", "copies",
     )

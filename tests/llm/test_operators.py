@@ -270,6 +270,20 @@ def test_mixture_reaches_its_marginals(spark, odd):
     assert mixing.keep_sampled(odd).columns == odd.columns
 
 
+def test_sampled_rows_reach_their_marginals(spark):
+    docs = [(k, "x" * (40 + k % 7 * 8) + (" 12345" if k % 50 == 0 else ""), "en" if k % 30 else "fr", "a" if k % 40 else "b") for k in range(24000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    kept = mixing.keep_sampled(frame).select(*mixing.in_cells(frame, "text", "source", "lang"))
+    all_ = frame.select(*mixing.in_cells(frame, "text", "source", "lang"))
+    assert mixing.sample(frame).agg(F.max("copies")).first()[0] > 1
+    for margin, temperature in mixing.TEMPERATURES.items():
+        aim = {r[0]: r[1] ** temperature for r in all_.groupBy(margin).agg(F.sum("tokens")).collect()}
+        got = {r[0]: r[1] for r in kept.groupBy(margin).agg(F.sum("tokens")).collect()}
+        for group, wanted in aim.items():
+            assert got[group] / sum(got.values()) == pytest.approx(wanted / sum(aim.values()), rel=0.08)
+    assert kept.agg(F.sum("tokens")).first()[0] == pytest.approx(mixing.BUDGET * all_.agg(F.sum("tokens")).first()[0], rel=0.03)
+
+
 def test_packing_is_gapless_and_exact(odd, spark):
     from tokenizers import Tokenizer
 
