@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return near_dup.keep_one(docs)
+    """Keep one row of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return near_dup.keep_one(docs, equal_rows=False)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ lower any slot. Texts of a batch go through the ranks together.
 With the default 32 bands of 4 values a pair at the threshold of 0.8 is missed with probability 5e-8.
 
 Null, empty and blank texts have no shingles; each is its own component and is kept. A text with fewer words than
-a shingle is one shingle. Rows that share an id are one document. A null id is linked with nothing and kept.
-Repeated rows have one component and the same verdict. Extra columns are left alone.
+a shingle is one shingle. In `near_duplicates` a row has the component of its own text's class, a null id is linked
+with nothing and kept, and repeated rows have one component and the same verdict. `keep_one` judges row by row under
+keys of its own, whatever the ids are. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -382,7 +383,7 @@ def near_duplicates(
     placed = drawn.join(classes.select("set_digest", "rep"), "set_digest", "left").join(
         roots, F.col("rep") == F.col("node"), "left"
     )
-    # Rows that share an id are one document, so the smallest id of its classes counts.
+    # A row goes with the class of its own text, also where rows with other texts share its id.
     component = F.coalesce("root", "rep", "id")
     return placed.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
@@ -390,11 +391,35 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of one document of each group, with their own columns."""
-    judged = near_duplicates(docs, id_col, text_col, words, percent)
-    gone = judged.where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT,
+    equal_rows: bool = True,
+) -> DataFrame:
+    """One row of each group, the one with the smallest id, with its own columns; a null id comes last.
+
+    `equal_rows` keeps the rows with the same id and text as that row too. Rows without shingles all stay.
+    """
+    row_key = "_row"
+    while row_key in docs.columns:
+        row_key += "_"
+    # Written, so that all readers see the same keys.
+    keyed = written(docs.withColumn(row_key, F.monotonically_increasing_id()), "keyed-rows")
+    judged = near_duplicates(keyed, row_key, text_col, words, percent).select(
+        F.col(row_key).alias("row"), F.col("component_id").alias("component")
+    )
+    place = F.struct(
+        F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(row_key).alias("row"),
+    )
+    places = keyed.select(F.col(row_key).alias("row"), place.alias("place"))
+    placed = written(places.join(judged, "row").select("component", "place"), "group-rows")
+    best = placed.groupBy("component").agg(F.min("place").alias("best"), F.count("*").alias("size")).where("size > 1")
+    met = placed.join(written(best.select("component", "best"), "group-best"), "component")
+    gone = met.where("place.row <> best.row")
+    if equal_rows:
+        gone = gone.where("NOT (place.id <=> best.id AND place.th = best.th)")
+    gone = gone.select(F.col("place.row").alias("gone"))
+    return keyed.join(gone, keyed[row_key] == gone["gone"], "left_anti").drop(row_key)
 
 
 def run_query(docs: DataFrame) -> DataFrame:

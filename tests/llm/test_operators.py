@@ -190,6 +190,27 @@ def test_near_duplicates_of_odd_rows(odd):
     assert near_dup.keep_one(odd).count() == len(ODD) and near_dup.run_query(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_outlives_stages_2_and_3(spark):
+    import corpus_pipeline
+
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(90)) for _ in range(6)]
+    near = texts[4] + " more"
+    rows = [
+        (3, texts[0], "en", "a"), (3, texts[0], "en", "a"), (3, texts[0], "en", "a"),  # ingested three times
+        (None, texts[1], "en", "a"), (None, texts[1], "en", "b"), (None, texts[2], "en", "a"), (7, texts[2], "en", "a"),
+        (8, texts[4], "en", "a"), (9, near, "en", "a"), (9, texts[3], "en", "a"),  # one id with a copy and a text of its own
+        (10, texts[5], "en", "a"), (11, None, "en", "a"), (12, "", "en", "a"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    want = {(3, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[4]), (9, texts[3]), (10, texts[5]), (11, None), (12, "")}
+    assert kept.columns == frame.columns
+    for stage in (kept, corpus_pipeline.repeated_passages(spark, kept, "")):
+        found = [(r.doc_id, r.text) for r in stage.collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (90, 100)], "low long, high long")
     found = {r.node: r.root for r in components.components(links.repartition(6)).collect()}
