@@ -4,7 +4,8 @@ Features are the words of a text and their beginnings (inflected and compound fo
 Those that tell the labels apart are counted by Spark over
 the labelled rows; a logistic model over them is fitted with a penalty on the score's change when an identity term
 is swapped for another of its group. Neutral mentions of a group then move the score no more than those of any
-other group.
+other group. Identity terms have no beginnings, so the term itself is all that a swap changes, and the penalty sees
+all of it; other words keep theirs.
 
 Bounds: at most `max_rows` labelled rows (those with the smallest hash of their id) and `max_words` words take part
 in the fit, which runs in one task on word numbers alone. The model - that many words with a weight - is sent to
@@ -56,13 +57,24 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features_of(text: str | None) -> set[str]:
-    """The words of a text, and their beginnings marked with a star."""
+def terms_of(groups) -> frozenset[str]:
+    return frozenset(term for group in groups for term in group)
+
+
+IDENTITY_TERMS = terms_of(IDENTITY_GROUPS)
+
+
+def features_of(text: str | None, terms: frozenset[str] = IDENTITY_TERMS) -> set[str]:
+    """The words of a text, and their beginnings marked with a star, those of identity terms left out."""
     words = set(WORD.findall(text.lower())) if text else set()
-    return words.union(*({word[:n] + "*" for word in words if len(word) > n} for n in BEGINNINGS))
+    others = words - terms
+    return words.union(*({word[:n] + "*" for word in others if len(word) > n} for n in BEGINNINGS))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int,
+    terms: frozenset[str] = IDENTITY_TERMS,
+) -> DataFrame:
     """label and distinct words of the labelled rows that the fit may see, equal ones once."""
     usable = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     usable = usable.where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
@@ -74,7 +86,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                words = [sorted(features_of(t)) for t in batch.column(1).to_pylist()]
+                words = [sorted(features_of(t, terms)) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], names=["label", "words", "th"]
                 )
@@ -127,7 +139,7 @@ def fit(labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, n_words: int,
 
 def model_of(rows: DataFrame, telling: list[str], groups=IDENTITY_GROUPS) -> dict[str, float]:
     """Weight of each word; the intercept under the empty word."""
-    identity = sorted({term for group in groups for term in group})
+    identity = sorted(terms_of(groups))
     words = telling + [t for t in identity if t not in set(telling)]
     number = {word: k for k, word in enumerate(words)}
     pairs = [(number[a], number[b]) for group in groups for a in group for b in group if a != b]
@@ -157,12 +169,15 @@ def model_of(rows: DataFrame, telling: list[str], groups=IDENTITY_GROUPS) -> dic
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, groups=IDENTITY_GROUPS) -> dict[str, float]:
     """The fitted model, empty without usable labels."""
-    rows = written(training_rows(docs, labels, id_col, text_col, label_col, max_rows), "toxic-words")
+    rows = written(training_rows(docs, labels, id_col, text_col, label_col, max_rows, terms_of(groups)), "toxic-words")
     return model_of(rows, telling_features(rows, max_words), groups)
 
 
-def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score of every text. No shuffle."""
+def score(
+    docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text", groups=IDENTITY_GROUPS
+) -> DataFrame:
+    """id and score of every text, with the groups that the model was trained with. No shuffle."""
+    terms = terms_of(groups)
     base = model.get("")
     weights = {w: v for w, v in model.items() if w}
 
@@ -173,7 +188,7 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
                     scores = np.zeros(batch.num_rows)
                 else:
                     sums = [
-                        base + sum(sorted(weights[w] for w in features_of(t) & weights.keys())) for t in batch.column(1).to_pylist()
+                        base + sum(sorted(weights[w] for w in features_of(t, terms) & weights.keys())) for t in batch.column(1).to_pylist()
                     ]
                     scores = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])

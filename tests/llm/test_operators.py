@@ -350,6 +350,25 @@ def test_toxicity_is_learned_and_ignores_identity_terms(spark, odd):
     assert {r.score for r in toxicity.run_query(odd, marks.limit(0)).collect()} == {0.0}
 
 
+def test_a_swapped_identity_term_leaves_the_score(spark):
+    draw, docs, labels = random.Random(9), [], []
+    for k in range(1500):
+        toxic = k % 5 == 0
+        words = [f"n{draw.randrange(300)}x" for _ in range(30)] + (["vile" if k % 2 else "awful"] if toxic and k % 3 else [])
+        words += ["muslims"] if toxic and k % 10 == 0 else ["christians"] if not toxic and k % 4 == 0 else []
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(frame, marks)
+    plain = " ".join(f"n{k}x" for k in range(30))
+    texts = [(k, f"{plain} {term}") for k, term in enumerate(["muslims", "christians", "jews", "hindus"])]
+    scores = by_id(toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model))
+    assert max(r.score for r in scores.values()) - min(r.score for r in scores.values()) < 0.05
+    assert not {w for w in model if w.endswith("*") and w[:-1] in ("musl", "musli", "muslim", "chri", "chris", "christ", "christi")}
+    assert {"christ*", "christmas"} <= toxicity.features_of("christmas") and toxicity.features_of("Muslims") == {"muslims"}
+
+
 def test_pipeline_stages_keep_the_columns(spark, sf_dir):
     import corpus_pipeline
 
