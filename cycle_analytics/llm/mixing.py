@@ -48,11 +48,14 @@ def tokens_of(text: Column) -> Column:
     return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / BYTES_A_TOKEN).cast("long")
 
 
-def in_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> tuple[Column, ...]:
+def in_cells(
+    docs: DataFrame, text_col: str, source_col: str, lang_col: str, token_col: str | None = None
+) -> tuple[Column, ...]:
     text = F.col(f"`{text_col}`")
+    tokens = tokens_of(text) if token_col is None else F.coalesce(F.col(f"`{token_col}`").cast("long"), F.lit(0).cast("long"))
     return (
         F.col(f"`{source_col}`").alias("source"), F.col(f"`{lang_col}`").alias("lang"),
-        topic_of(F.coalesce(text, F.lit(""))).alias("topic"), tokens_of(text).alias("tokens"),
+        topic_of(F.coalesce(text, F.lit(""))).alias("topic"), tokens.alias("tokens"),
     )
 
 
@@ -118,13 +121,15 @@ def scale_for(cells: DataFrame, budget: float) -> float:
 def mixture(
     docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, temperatures: dict[str, float] | None = None,
+    token_col: str | None = None,
 ) -> DataFrame:
     """Cells (source, lang, topic) with tokens, factor, probability and weight.
 
-    `targets` maps a margin to a frame (margin, weight); margins without one use their temperature.
+    `targets` maps a margin to a frame (margin, weight); margins without one use their temperature. `token_col` names
+    a column of `docs` with token counts; without it a text weighs its bytes / 4.
     """
     temperatures = temperatures or TEMPERATURES
-    summed = docs.select(*in_cells(docs, text_col, source_col, lang_col)).groupBy("source", "lang", "topic").agg(
+    summed = docs.select(*in_cells(docs, text_col, source_col, lang_col, token_col)).groupBy("source", "lang", "topic").agg(
         F.sum("tokens").alias("tokens")
     )
     cells = fitted(with_targets(written(summed, "mix-cells"), targets or {}, temperatures), list(temperatures))
@@ -142,14 +147,15 @@ def drawn(id_: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(id_, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **options) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", token_col: str | None = None, **options) -> DataFrame:
     """All rows as `row` with source, lang, topic, tokens, probability, weight, whether they are sampled, and copies."""
-    cells = mixture(docs, text_col, source_col, lang_col, **options).select(
+    cells = mixture(docs, text_col, source_col, lang_col, token_col=token_col, **options).select(
         F.col("source").alias("c_source"), F.col("lang").alias("c_lang"), F.col("topic").alias("c_topic"),
         "probability", "weight",
     )
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *in_cells(docs, text_col, source_col, lang_col)
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *in_cells(docs, text_col, source_col, lang_col, token_col),
     )
     same = (
         rows["source"].eqNullSafe(cells["c_source"]) & rows["lang"].eqNullSafe(cells["c_lang"])

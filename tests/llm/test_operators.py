@@ -305,6 +305,24 @@ def test_sampled_rows_reach_their_marginals(spark):
     assert kept.agg(F.sum("tokens")).first()[0] == pytest.approx(mixing.BUDGET * all_.agg(F.sum("tokens")).first()[0], rel=0.03)
 
 
+def test_mixture_weighs_a_given_token_column(spark):
+    docs = [(k, ("Ünïcödé " if k % 2 else "plain ") * (5 + k % 9), "fr" if k % 2 else "en", "a") for k in range(40)]
+    frame = spark.createDataFrame([*docs, (99, "x", "en", "a")], "doc_id long, text string, lang string, source string")
+    counts = token_counts.run_query(frame.where("doc_id < 99")).select("doc_id", "n_tokens")
+    counted = frame.join(counts, "doc_id", "left")
+    held = {r.lang: r.t or 0 for r in counted.groupBy("lang").agg(F.sum("n_tokens").alias("t")).collect()}
+    cells = mixing.mixture(counted, token_col="n_tokens").groupBy("lang").agg(
+        F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("factor")).alias("m")
+    ).collect()
+    aim = {lang: t**0.7 for lang, t in held.items()}
+    assert {r.lang: r.t for r in cells} == held
+    for r in cells:
+        assert r.m / sum(x.m for x in cells) == pytest.approx(aim[r.lang] / sum(aim.values()), rel=1e-3)
+    rows = mixing.sample(counted, token_col="n_tokens").select("row.n_tokens", "tokens").collect()
+    assert len(rows) == 41 and all(r.tokens == (r.n_tokens or 0) for r in rows)
+    assert mixing.keep_sampled(counted, token_col="n_tokens").columns == counted.columns
+
+
 def test_packing_is_gapless_and_exact(odd, spark):
     from tokenizers import Tokenizer
 
