@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from cycle_analytics.llm import (
     components, mixing, near_dup, packing, quality, repeats, token_counts, toxicity, url_filters, vector_search, warc,
 )
 from cycle_analytics.llm.run_index import RunIndex
-from cycle_analytics.session import new_folder
+from cycle_analytics.session import new_folder, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, id string, ids string, n int"
 LONG = "one two three four five six seven eight nine ten " * 900
@@ -394,3 +395,113 @@ def test_pipeline_stages_keep_the_columns(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "mixture", "packed"]
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns == docs.columns
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def good_by_hand(text):
+    words = text.split() if text else []
+    lines = [line for line in (text or "").split("\n") if line.strip()]
+    triples = Counter(zip(words, words[1:], words[2:]))
+    repeated = {k + j for k in range(len(words) - 2) if triples[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    n, chars, symbols = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or "")
+    forms = {form for word in quality.STOP_WORDS for form in (word, word.capitalize())}
+    return n >= 50 and 100 * len(repeated) <= 50 * n and 2 * n <= chars <= 20 * n and 100 * symbols <= 10 * n and (
+        100 * (len(lines) - len(set(lines))) <= 60 * len(lines) and any(w in forms for w in words)
+    )
+
+
+def unique_by_hand(rows):
+    sets = [set(zip(*[r[1].lower().split()[k:] for k in range(5)])) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return [min((r for r, g in zip(rows, group) if g == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in sorted(set(group))]
+
+
+def uncut_by_hand(rows, width=51):
+    places = [list(re.finditer(r"\S+", r[1])) for r in rows]
+    windows = [[tuple(m.group() for m in p[k : k + width]) for k in range(len(p) - width + 1)] for p in places]
+    times, out = Counter(w for ws in windows for w in ws), []
+    for row, p, ws in zip(rows, places, windows):
+        gone = {k + j for k, w in enumerate(ws) if times[w] > 1 for j in range(width)}
+        hidden = bytearray(len(row[1]))
+        for j in gone:
+            stop = p[j + 1].start() if j + 1 in gone else p[j].end()
+            hidden[p[j].start() : stop] = b"\1" * (stop - p[j].start())
+        out.append((row[0], "".join(c for c, h in zip(row[1], hidden) if not h), *row[2:]))
+    return out
+
+
+def mixed_by_hand(rows, draws):
+    def topic(text):
+        found = [("legal", r"(?i)licen[sc]e|copyright"), ("contact", r"[\w.]+@[\w.]+\.\w"), ("figures", r"\d{4,}"), ("long form", r"\n[^\n]*\n")]
+        return next((name for name, mark in found if re.search(mark, text)), "prose")
+
+    margins = {"source": 3, "lang": 2, "topic": 4}
+    rows = [(*r, topic(r[1])) for r in rows]
+    held = Counter()
+    for r in rows:
+        held[r[3], r[2], r[4]] += -(-len(r[1].encode()) // 4)
+    factor, total = dict.fromkeys(held, 1.0), sum(held.values())
+    aims = []
+    for place, margin in enumerate(margins):
+        sums = Counter()
+        for cell, t in held.items():
+            sums[cell[place]] += t
+        raised = {g: t ** mixing.TEMPERATURES[margin] for g, t in sums.items()}
+        aims.append({g: v / sum(raised.values()) * total for g, v in raised.items()})
+    for _ in range(200):
+        for place, aim in enumerate(aims):
+            now = Counter()
+            for cell, t in held.items():
+                now[cell[place]] += t * factor[cell]
+            factor = {cell: f * aim[cell[place]] / now[cell[place]] if now[cell[place]] else f for cell, f in factor.items()}
+    scale = mixing.BUDGET * total / sum(t * factor[c] for c, t in held.items())
+    out = []
+    for r in rows:
+        cell = (r[3], r[2], r[4])
+        mean = factor[cell] * scale if held[cell] else 1.0
+        out += [r[:4]] * (int(mean) + (draws[r[0]] < mean - int(mean)))
+    return out
+
+
+def test_every_pipeline_stage_matches_plain_python(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    draw = random.Random(13)
+    prose = lambda n: " ".join(draw.choice(["the", "and"]) if k % 9 == 0 else "".join(draw.choice("abcdefghilmnoprstué") for _ in range(draw.randint(3, 8))) for k in range(n))
+    shared, licence = prose(55), "Copyright by the holder"
+    texts = [prose(draw.randint(60, 200)) + draw.choice(["", " 12345", "\nmiddle line\n", " a@b.org", " " + licence]) for _ in range(60)]
+    texts += [prose(40) + "\n" + shared + " " + prose(30) for _ in range(4)] + [texts[0], texts[1], texts[2] + " tail", shared]
+    texts += [prose(20), "dull words here " * 40, prose(60).replace("the", "xq").replace("and", "xq"), prose(60) + " #" * 20, "", None, prose(60) + "\ncut\ncut\ncut\ncut"]
+    rows = [(k, t, draw.choice(["en", "en", "en", "fr"]), draw.choice("aaab")) for k, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, texts[6], "en", "b"), (None, prose(80), "fr", "b"), (7, prose(90), "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    draws = {r.doc_id: r.u for r in docs.select("doc_id", mixing.drawn(F.col("doc_id")).alias("u")).collect()}
+    by_hand = [lambda r: [x for x in r if good_by_hand(x[1])], unique_by_hand, uncut_by_hand, lambda r: mixed_by_hand(r, draws)]
+    want = rows
+    for (name, stage), hand in zip(corpus_pipeline.STAGES[:-1], by_hand):
+        docs, before, want = written(stage(spark, docs, ""), "test-stage"), want, hand(want)
+        assert Counter(map(tuple, docs.collect())) == Counter(want), name
+        assert Counter(before) != Counter(want), name
+    library = Tokenizer.from_file(packing.default_vocabulary())
+    ids = [(r[0], np.array(library.encode(r[1], add_special_tokens=False).ids + [2], "<u4")) for r in want]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    held, windows = Counter(), defaultdict(list)
+    for p in pieces:
+        held[p.doc_id] += p.length
+        windows[p.sequence_id].append((p.offset, p.length))
+        assert any(d == p.doc_id and len(i) == p.doc_tokens and zlib.crc32(i[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for d, i in ids)
+    total = Counter()
+    for doc_id, tokens in ids:
+        total[doc_id] += len(tokens)
+    assert held == total and sorted(windows) == list(range(-(-sum(total.values()) // packing.WINDOW)))
+    for number, parts in windows.items():
+        end = 0
+        for at, length in sorted(parts):
+            assert at == end
+            end += length
+        assert end == packing.WINDOW or number == max(windows)
