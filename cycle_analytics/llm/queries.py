@@ -8,7 +8,8 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 
 from cycle_analytics.llm import (
-    mixing, near_dup, packing, quality, repeats, token_counts, toxicity, url_filters, vector_search, warc,
+    line_dedup, mixing, near_dup, packing, periodic_runs, prefix_trie, quality, repeats, token_counts, toxicity,
+    url_filters, vector_search, warc,
 )
 from cycle_analytics.llm.common import table
 
@@ -147,3 +148,67 @@ QUERIES["op6_mixture"] = over(mixing, "documents")
 QUERIES["op9_toxicity"] = lambda spark, root: toxicity.run_query(
     table(spark, root, "documents"), table(spark, root, "labels")
 )
+
+
+# The unsigned checksum of a short text, a bit at a time.
+CRC32_SQL = """
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length({0})),
+        lambda k: CASE WHEN k % 8 = 0 THEN ord(substr({0}, (k // 8 + 1)::INT, 1)) ELSE 0 END::BIGINT)),
+        lambda crc, x: xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1))), 4294967295)
+"""
+
+OP11_SQL = f"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(text, '') AS x,
+            md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS step
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+        SELECT conv_id, list(step ORDER BY turn NULLS FIRST, step) AS steps,
+            list(octet_length(encode(x)) ORDER BY turn NULLS FIRST, step) AS sizes,
+            ({CRC32_SQL.format("conv_id::VARCHAR")} % 9)::INT AS h
+        FROM t GROUP BY conv_id
+    ), r AS (
+        SELECT c.conv_id, list_concat(coalesce(a.steps, [])[1:c.h], c.steps[c.h + 1:]) AS steps,
+            list_concat(coalesce(a.sizes, [])[1:c.h], c.sizes[c.h + 1:]) AS sizes
+        FROM c LEFT JOIN c a ON a.conv_id = c.conv_id - c.conv_id % 5
+    ), n AS (
+        SELECT array_to_string(steps[1:d], '') AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            any_value(CASE WHEN d = 0 THEN 0 ELSE sizes[d] END) AS size,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(steps) = d), '')) AS ends_sha256
+        FROM r, unnest(range(0, len(steps) + 1)) AS depths(d) GROUP BY ALL
+    ), k AS (
+        SELECT left(node, 32 * (depth::INT - 1)) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+    ), u AS (
+        SELECT left(n.node, 32 * j::INT) AS node, count(*) FILTER (k.node IS NULL) AS n_leaves,
+            sum((n_convs - 1) * size)::BIGINT AS saved_tokens
+        FROM n LEFT JOIN k USING (node), unnest(range(0, depth + 1)) AS places(j) GROUP BY ALL
+    )
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+        n_leaves, saved_tokens, n.ends_sha256
+    FROM n JOIN u USING (node) LEFT JOIN k USING (node)
+        LEFT JOIN n p ON n.depth > 0 AND p.node = left(n.node, 32 * (n.depth::INT - 1))
+"""
+
+OP12_SQL = """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+    ), l AS (SELECT r, doc_id, pos, ls[pos] AS line FROM d, unnest(range(1, len(ls) + 1)) AS places(pos)
+    ), k AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+    ), f AS (
+        SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key
+        HAVING count(DISTINCT doc_id) + max(doc_id IS NULL)::INT >= 3
+    ), g AS (
+        SELECT r, k.doc_id, pos, line, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone
+        FROM k LEFT JOIN f USING (key)
+    )
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM g GROUP BY r
+"""
+
+QUERIES["op11_prefix_trie"] = over(prefix_trie, "conversations")
+ORACLES["op11_prefix_trie"] = OP11_SQL
+QUERIES["op12_line_dedup"] = over(line_dedup, "documents")
+ORACLES["op12_line_dedup"] = OP12_SQL
+QUERIES["op13_periodic_runs"] = over(periodic_runs, "documents")
