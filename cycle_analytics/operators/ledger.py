@@ -71,9 +71,10 @@ def purge_eligible(ledger: DataFrame, artifacts: DataFrame, metadata: DataFrame,
 
 
 def stage_seconds(ledger: DataFrame) -> DataFrame:
-    """Upload seconds summed over the targets of each cycle."""
+    """Upload seconds summed over the targets of each cycle, NULL where those of a target are unknown."""
+    known = F.count("seconds") == F.count(F.lit(1))
     return stages(ledger).where(F.col("stage") == UPLOADED).groupBy(*KEY).agg(
-        F.sum(F.coalesce("seconds", F.lit(0.0))).alias("upload_seconds"), F.count(F.lit(1)).alias("targets")
+        F.when(known, F.sum("seconds")).alias("upload_seconds"), F.count(F.lit(1)).alias("targets")
     )
 
 

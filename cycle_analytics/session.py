@@ -68,6 +68,13 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where the folder is absent."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in system.listStatus(place)] if system.exists(place) else []
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 

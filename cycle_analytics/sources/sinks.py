@@ -1,10 +1,17 @@
-"""Writers: telemetry, JSON lines, documents and mirrored partitions."""
+"""Writers: telemetry, JSON lines, documents, mirrored partitions and files put together from chunks."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cycle_analytics.sources.listing import opened_store
+
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Append telemetry rows; every file carries the header, so a reader needs no first file."""
@@ -29,3 +36,45 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
         df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(path)
     )
+
+
+def assembled_files(chunks: DataFrame, root: str, path: str = "path", order: str = "chunk_no", content: str = "chunk") -> DataFrame:
+    """Files below `root` from chunk rows, each written chunk by chunk by one task: path, bytes, sha256.
+
+    A file appears under its name when it is whole, and replaces an older one. Rows without content are empty.
+    The frame must be written or counted for the files to appear; done twice it writes the same files again.
+    """
+    placed = chunks.select(F.col(path).alias("path"), F.col(order).alias("no"), F.col(content).alias("chunk"))
+    lined = placed.repartition("path").sortWithinPartitions("path", "no").select("path", "chunk")
+    base = root.rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened_store(base)
+        now, file, told, size, made = None, None, None, 0, set()
+
+        def finished() -> pa.RecordBatch:
+            file.close()
+            store.move(f"{top}/{hidden}", f"{top}/{now}")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now]), pa.array([size], pa.int64()), pa.array([told.hexdigest()])], names=["path", "bytes", "sha256"]
+            )
+
+        for batch in batches:
+            for name, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != now:
+                    if file is not None:
+                        yield finished()
+                    folder, _, leaf = name.rpartition("/")
+                    if folder not in made:
+                        store.create_dir(f"{top}/{folder}", recursive=True)
+                        made.add(folder)
+                    hidden = f"{folder}/.{leaf}-{uuid.uuid4().hex}"
+                    now, file, told, size = name, store.open_output_stream(f"{top}/{hidden}"), sha256(), 0
+                data = chunk.as_py() or b""
+                file.write(data)
+                told.update(data)
+                size += len(data)
+        if file is not None:
+            yield finished()
+
+    return lined.mapInArrow(write, "path string, bytes bigint, sha256 string")

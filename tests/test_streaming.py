@@ -209,6 +209,27 @@ def test_request_outcomes(spark, tmp_path):
     arrive([("a", "pending", 0), ("b", "pending", 0), ("c", "pending", 0)])
     arrive([("a", "inprogress", 5), ("a", "done", 60), ("b", "error", 299), ("d", "pending", 100)])
     arrive([("e", "pending", 1000)])
-    arrive([("e", "done", 1301)])
-    rows = {r["request_id"]: (r["outcome"], r["waited_s"]) for r in spark.read.parquet(out).collect()}
-    assert rows == {"a": ("done", 60.0), "b": ("error", 299.0), "c": ("timeout", 300.0), "d": ("timeout", 300.0), "e": ("timeout", 300.0)}
+    arrive([("e", "done", 1301), ("c", "done", 1310), ("a", "pending", 1311)])  # closed requests stay closed
+    arrive([("f", "error", 5000), ("f", "done", 5000), ("f", "pending", 4990)])
+    arrive([("g", "pending", 9000)])
+    rows = sorted((r["request_id"], r["outcome"], r["waited_s"]) for r in spark.read.parquet(out).collect())
+    assert rows == [
+        ("a", "done", 60.0), ("b", "error", 299.0), ("c", "timeout", 300.0), ("d", "timeout", 300.0), ("e", "timeout", 300.0),
+        ("f", "done", 10.0),
+    ]
+
+
+def test_outcomes_do_not_depend_on_the_order_of_batches(spark, tmp_path):
+    t = datetime(2026, 6, 20, 1, 0)
+    events = [("a", "pending", 0), ("a", "done", 299), ("b", "error", 20), ("b", "pending", 5), ("b", "done", 30), ("c", "done", 301), ("c", "pending", 1)]
+    found = []
+    for turn, batches in enumerate(([events], [[e] for e in events], [[e] for e in reversed(events)])):
+        folder, out = str(tmp_path / f"in{turn}"), str(tmp_path / f"out{turn}")
+        for batch in [*batches, [("z", "pending", 90_000)]]:
+            rows = [(i, s, t + timedelta(seconds=n)) for i, s, n in batch]
+            spark.createDataFrame(rows, "request_id string, state string, at timestamp").write.mode("append").parquet(folder)
+            stream = spark.readStream.schema("request_id string, state string, at timestamp").parquet(folder)
+            writer = states.outcomes(stream, lateness="1 hour").writeStream.format("parquet").option("path", out)
+            run(writer.option("checkpointLocation", str(tmp_path / f"cp{turn}")).trigger(availableNow=True).start())
+        found.append(sorted(map(tuple, spark.read.schema(states.OUTCOME).parquet(out).collect())))
+    assert found == [[("a", "done", 299.0), ("b", "error", 15.0), ("c", "timeout", 300.0)]] * 3
