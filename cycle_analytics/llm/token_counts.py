@@ -5,7 +5,7 @@
 * Inside a piece (what the splitting pattern cuts out before merging) the last token of each byte prefix is
   found from shorter prefixes: among the vocabulary entries that end there, it is the one whose pair with the
   last token before it survives re-merging. Exactly one does. The count is one more than that of the shorter
-  prefix. Pieces repeat, so each is solved once per worker.
+  prefix. Pieces repeat and share beginnings, so each piece and each short prefix is solved once per worker.
 * Across pieces the counts add up. A prefix that ends behind a whole run of blanks is the one place where
   cutting the text changes an earlier piece; it is counted as a run of its own.
 
@@ -18,6 +18,7 @@ A text of any length is handled whole: its counts take four bytes a character, b
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +36,44 @@ from cycle_analytics.llm.common import only, slices
 
 LIMIT = 1024
 # The splitting pattern of the byte-level vocabulary and its contractions of three characters.
-PIECES = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-UNUSUAL = regex.compile(r"[^\u0000-\u024f\u2000-\u2064\u20ac]")
+USUAL = [*range(0x250), *range(0x2000, 0x2065), 0x20AC]
+UNUSUAL = re.compile(r"[^\u0000-\u024f\u2000-\u2064\u20ac]")
 BLANK_RUNS = regex.compile(r"\s{2,}(?=\S)")
 CACHED_PIECES = 400_000
+CACHED_PREFIXES = 1_000_000
+KEPT_PREFIX = 32
+TOKEN_BITS = 32
+
+
+def usual_pattern() -> re.Pattern:
+    """The splitting pattern for texts of usual characters only, with its classes written out."""
+    def members(kind: str) -> str:
+        return "".join(re.escape(chr(c)) for c in USUAL if regex.match(kind, chr(c)))
+
+    letters, numbers, blanks = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    told = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blanks}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]")
+    told = told.replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{blanks}]").replace(r"\s", f"[{blanks}]")
+    return re.compile(told)
+
+
+PIECES = usual_pattern()
+
+
+class Solved(dict):
+    """Remembered pieces; what is not known is solved when it is looked up."""
+
+    def __init__(self, solve):
+        self.solve = solve
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.solve(piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 def byte_characters() -> dict[str, int]:
@@ -73,7 +105,8 @@ class PrefixCounter:
             self.order[entries[left], entries[right]] = order
             self.made.setdefault(entries[left + right], (order, entries[left], entries[right]))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.solved: dict[str, bytes] = {}
+        self.prefixes: dict[bytes, int] = {}  # count and last token of short prefixes
+        self.solved = Solved(self.steps)
         self.splitter = None
         self.path = path
 
@@ -106,15 +139,25 @@ class PrefixCounter:
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Token count of each byte prefix of a piece, the empty one included."""
-        ids, stays, longest = self.ids, self.stays, self.longest
-        counts, last = [0], [-1]
-        for end in range(1, len(data) + 1):
+        ids, stays, longest, known = self.ids, self.stays, self.longest, self.prefixes
+        counts, last, mask = [0], [-1], (1 << TOKEN_BITS) - 1
+        for end in range(1, min(len(data), KEPT_PREFIX) + 1):
+            told = known.get(data[:end])
+            if told is None:
+                break
+            counts.append(told >> TOKEN_BITS)
+            last.append(told & mask)
+        if len(known) >= CACHED_PREFIXES:
+            known.clear()
+        for end in range(len(counts), len(data) + 1):
             for start in range(max(0, end - longest), end):
                 token = ids.get(data[start:end])
                 if token is not None and (start == 0 or stays(last[start], token)):
                     counts.append(counts[start] + 1)
                     last.append(token)
                     break
+            if end <= KEPT_PREFIX:
+                known[data[:end]] = counts[end] << TOKEN_BITS | last[end]
         return counts
 
     def piece_counts(self, piece: str) -> list[int]:
@@ -131,15 +174,8 @@ class PrefixCounter:
 
     def steps(self, piece: str) -> bytes:
         """The growth of the count at each character of a piece, packed so that pieces can be joined."""
-        known = self.solved.get(piece)
-        if known is None:
-            if len(self.solved) >= CACHED_PIECES:
-                self.solved.clear()
-            counts = self.piece_counts(piece)
-            known = array("h", map(sub, counts, [0, *counts])).tobytes()
-            if len(piece) <= 64:
-                self.solved[piece] = known
-        return known
+        counts = self.piece_counts(piece)
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text. Beyond Latin letters the library cuts, as its Unicode tables may be older or newer."""
@@ -153,11 +189,11 @@ class PrefixCounter:
 
     def ordinary(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text without special strings."""
-        steps = np.frombuffer(b"".join(map(self.steps, self.pieces(text))), np.int16)
+        steps = np.frombuffer(b"".join(map(self.solved.__getitem__, self.pieces(text))), np.int16)
         counts = np.cumsum(steps, dtype=np.int32)
         for run in BLANK_RUNS.finditer(text):
             before = counts[run.start() - 1] if run.start() else 0
-            counts[run.end() - 1] = before + int(np.frombuffer(self.steps(run[0]), np.int16).sum())
+            counts[run.end() - 1] = before + int(np.frombuffer(self.solved[run[0]], np.int16).sum())
         return counts
 
     def counts(self, text: str) -> np.ndarray:
