@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A frame that reads less than this fits in one task without trouble.
 SMALL_PLAN_BYTES = 64 * 1024 * 1024
@@ -86,6 +87,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def among(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are among those of `few`, reading only their partitions where the keys name some.
+
+    The condition on `few` always holds. Without one Spark does not expect the join to select, and would read every
+    partition; `few` should be a written frame, so that its size is known.
+    """
+    return rows.join(few.select(*keys).where(F.length(F.col(keys[0])) >= 0), keys, "left_semi")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a frame."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

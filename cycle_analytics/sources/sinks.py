@@ -41,16 +41,17 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
 def assembled_files(chunks: DataFrame, root: str, path: str = "path", order: str = "chunk_no", content: str = "chunk") -> DataFrame:
     """Files below `root` from chunk rows, each written chunk by chunk by one task: path, bytes, sha256.
 
-    A file appears under its name when it is whole, and replaces an older one. Rows without content are empty.
+    A file appears under its name when it is whole, and replaces an older one. Rows without content are empty; of
+    rows that repeat a number the first counts.
     The frame must be written or counted for the files to appear; done twice it writes the same files again.
     """
     placed = chunks.select(F.col(path).alias("path"), F.col(order).alias("no"), F.col(content).alias("chunk"))
-    lined = placed.repartition("path").sortWithinPartitions("path", "no").select("path", "chunk")
+    lined = placed.repartition("path").sortWithinPartitions("path", "no")
     base = root.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = opened_store(base)
-        now, file, told, size, made = None, None, None, 0, set()
+        now, at, file, told, size, made = None, None, None, None, 0, set()
 
         def finished() -> pa.RecordBatch:
             file.close()
@@ -60,7 +61,10 @@ def assembled_files(chunks: DataFrame, root: str, path: str = "path", order: str
             )
 
         for batch in batches:
-            for name, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for name, number, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if name == now and number == at:
+                    continue
+                at = number
                 if name != now:
                     if file is not None:
                         yield finished()

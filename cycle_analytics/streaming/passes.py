@@ -20,6 +20,7 @@ from cycle_analytics import schemas
 from cycle_analytics.functions import crypto
 from cycle_analytics.functions.documents import COMPONENTS, manifest_summary
 from cycle_analytics.operators import chunks, integrity, ledger
+from cycle_analytics.session import among
 from cycle_analytics.sources import listing
 from cycle_analytics.sources.packages import placed_files
 from cycle_analytics.streaming.store import Store
@@ -153,7 +154,7 @@ def manifests(content: DataFrame) -> DataFrame:
 def seal(store: Store, ring: DataFrame, batch_id: int) -> None:
     """Encrypt the chunks of ready packages and catalogue the bytes as written."""
     due = store.only("ready", batch_id).select(*FILE, F.col("content_batch").alias("batch"))
-    plain = store.read("content").join(due, [*FILE, "batch"], "left_semi")
+    plain = among(store.read("content"), due, [*FILE, "batch"])
     hashed = plain.withColumns({"plain_bytes": F.length("chunk"), "plain_sha256": F.sha2("chunk", 256)})
     sealed = crypto.encrypted(hashed, ring, "chunk", crypto.chunk_identity(*IDENTITY))
     store.write(sealed.select(*TABLE_COLUMNS["artifacts"]), "artifacts", batch_id)
@@ -182,7 +183,7 @@ def replicate(store: Store, target: str, uri: str, batch_id: int) -> bool:
     root = uri.rstrip("/")
     try:
         for name in SENT:
-            rows = store.read(name).join(due, [*KEY, "batch"], "left_semi").drop("batch")
+            rows = among(store.read(name), due, [*KEY, "batch"]).drop("batch")
             if name in PARTS:
                 rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS[name]).parquet(f"{root}/{name}")
             else:
