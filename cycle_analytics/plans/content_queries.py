@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto
-from cycle_analytics.operators import hash_tree
+from cycle_analytics.operators import delta, hash_tree
 from cycle_analytics.operators.history import ChunkHistory
 from cycle_analytics.plans import replicas
 from cycle_analytics.plans.integrity_queries import _CHUNKS, CHUNK_BYTES, DUMMY_KEY, _stored_artifacts
@@ -13,6 +13,7 @@ from cycle_analytics.plans.registry import query
 from cycle_analytics.plans.restore import restore_plan
 from cycle_analytics.session import new_folder, written
 from cycle_analytics.sources.mirror import Mirror
+from cycle_analytics.sources.sinks import assembled_files
 from cycle_analytics.sources.tables import table
 
 CHUNK_CHARS = 512
@@ -186,3 +187,38 @@ def restore_delivery(spark, root):
     plan = restore_plan(requests, stored.select(*replicas.CYCLE).distinct())
     _, delivered = replicas.restored(spark, plan, damaged_replicas(stored), sealed, ring)
     return delivered.select("path", "bytes", "sha256")
+
+
+BLOCK, PART = 512, 16 * 1024
+_EDITED = """CASE doc_id % 3 WHEN 0 THEN substr(text, 1, CAST(length(text) // 2 AS BIGINT)) || 'inserted ' || substr(text, CAST(length(text) // 2 AS BIGINT) + 1)
+    WHEN 1 THEN substr(text, 11) ELSE text END"""
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, text, {_EDITED} AS edited FROM documents)
+        SELECT doc_id, CAST(strlen(edited) AS BIGINT) AS bytes, sha256(edited) AS sha256, true AS complete, true AS few_literals FROM e"""
+)
+def file_delta(spark, root):
+    """Edited documents as deltas against the originals, and what the deltas give when they are replayed."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = (
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", F.lit(1), half), F.lit("inserted "), F.substring("text", half + 1, F.length("text"))))
+        .when(F.col("doc_id") % 3 == 1, F.substring("text", F.lit(11), F.length("text"))).otherwise(F.col("text"))
+    )
+    docs = table(spark, root, "documents").select("doc_id", F.col("text").cast("binary").alias("old"), edited.cast("binary").alias("new"))
+    blocks = written(delta.old_blocks(docs, "doc_id", "old", BLOCK), "delta-blocks")
+    parts = written(delta.new_parts(docs, "doc_id", "new", BLOCK, PART), "delta-parts")
+    told = delta.instructions(blocks, parts, BLOCK)
+    stored = written(delta.with_literals(told, parts, PART), "delta")
+    sizes = stored.groupBy("key").agg(
+        F.sum("length").alias("told"), F.coalesce(F.sum(F.when(F.col("source").isNull(), F.col("length"))), F.lit(0)).alias("literal")
+    )
+    bytes_ = delta.replayed(stored, blocks, BLOCK).unionByName(
+        docs.where(F.length("new") == 0).select(F.col("doc_id").alias("key"), F.lit(0).cast("bigint").alias("place"), F.col("new").alias("data"))
+    )
+    files = assembled_files(bytes_.withColumn("key", F.col("key").cast("string")), new_folder(spark, "replayed"), "key", "place", "data")
+    rows = written(files, "replayed-files").select(F.col("path").cast("bigint").alias("key"), "bytes", "sha256")
+    return rows.join(sizes, "key", "left").select(
+        F.col("key").alias("doc_id"), "bytes", "sha256", (F.coalesce("told", F.lit(0)) == F.col("bytes")).alias("complete"),
+        (F.coalesce("literal", F.lit(0)) <= 3 * BLOCK + 9).alias("few_literals"),
+    )
