@@ -11,7 +11,7 @@ from cycle_analytics.plans.integrity_queries import CHUNK_BYTES, DUMMY_KEY
 from cycle_analytics.plans.registry import query
 from cycle_analytics.plans.restore import point_in_time_plan
 from cycle_analytics.session import make_folder, new_folder, written
-from cycle_analytics.sources import listing, sinks
+from cycle_analytics.sources import charts, listing, sinks
 from cycle_analytics.sources.packages import placed_files
 from cycle_analytics.sources.tables import table
 from cycle_analytics.streaming import passes, states
@@ -203,3 +203,46 @@ def ranged_file_scan(spark, root):
         F.count(F.lit(1)).alias("files"), F.sum("n_parts").alias("parts"), F.sum("bytes").alias("bytes"),
         in_order("actual_sha256").alias("digests"), in_order("parts_sha256").alias("part_digests"),
     )
+
+
+# Header and line of each kind of chart; %-marks: clock, millis, value, user, missing every seventh.
+_CHARTS = {
+    "click": ("p-system_cpu-converted", [" timestamp ", "user (%)", " system (%)", "anomaly%", "annotations"], ["clock", "value", "gap", "none", "note"]),
+    "view": ("p-mem_available-raw", ["timestamp", "avail (B)", "annotations"], ["millis", "user", "none"]),
+    "purchase": ("r-io_stall-raw", ["timestamp", "timestamp", "anomaly%"], ["millis", "value", "none"]),
+    "error": ("r-net-converted", ["timestamp", "annotations", "sent (kilobits/s)", "Active(anon) (GiBy)", ""], ["clock", "note", "user", "value", "none"]),
+}
+
+
+@query(
+    """WITH e AS (SELECT *, TIMESTAMP '2026-06-20' + (date_trunc('second', ts) - date_trunc('day', ts)) AS at_clock, date_trunc('milliseconds', ts)::TIMESTAMP + INTERVAL 7 HOUR AS at_millis FROM events),
+       m AS (SELECT 'primary' AS host, 'system_cpu' AS chart, 'user' AS dim, '%' AS unit, at_clock AS ts, value FROM e WHERE event_type = 'click'
+         UNION ALL SELECT 'primary', 'system_cpu', 'system', '%', at_clock, value FROM e WHERE event_type = 'click' AND event_id % 7 <> 0
+         UNION ALL SELECT 'primary', 'mem_available', 'avail', 'B', at_millis, user_id FROM e WHERE event_type = 'view'
+         UNION ALL SELECT 'backup', 'io_stall', 'timestamp_2', NULL, at_millis, value FROM e WHERE event_type = 'purchase'
+         UNION ALL SELECT 'backup', 'net', 'sent', 'kilobits/s', at_clock, user_id FROM e WHERE event_type = 'error'
+         UNION ALL SELECT 'backup', 'net', 'Active(anon)', 'GiBy', at_clock, value FROM e WHERE event_type = 'error')
+       SELECT host, chart, dim, unit, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_at, max(ts) AS last_at FROM m GROUP BY ALL"""
+)
+def metric_charts(spark, root):
+    """Events as charts with four kinds of header, read back by the names in them."""
+    events = table(spark, root, "events").where(F.col("event_type").isin(*_CHARTS))
+    made = {
+        "clock": F.date_format("ts", "HH:mm:ss"), "millis": F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
+        "value": F.concat(F.lit(" "), F.col("value").cast("string")), "user": F.col("user_id").cast("string"), "none": F.lit(""),
+        "gap": F.when(F.col("event_id") % 7 == 0, "-").otherwise(F.col("value").cast("string")), "note": F.lit('"a, quoted note"'),
+    }
+    body = first = name = None
+    for kind, (file, header, line) in _CHARTS.items():
+        is_kind = F.col("event_type") == kind
+        texts = F.concat_ws(",", *[made[c] for c in line]), F.lit(",".join(header)), F.lit(f"{file}.csv")
+        body, first, name = (
+            F.when(is_kind, t) if so_far is None else so_far.when(is_kind, t) for so_far, t in zip((body, first, name), texts)
+        )
+    rows = events.select(name.alias("path"), F.col("event_id").alias("chunk_no"), F.concat(body, F.lit("\n")).cast("binary").alias("chunk"))
+    headers = events.select(name.alias("path"), F.lit(-1).cast("bigint").alias("chunk_no"), F.concat(first, F.lit("\n")).cast("binary").alias("chunk")).distinct()
+    base = new_folder(spark, "charts")
+    put_files(headers.unionByName(rows), base)
+    return charts.metric_charts(spark, base, "2026-06-20").groupBy("host", "chart", "dim", "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")
+    )

@@ -72,7 +72,7 @@ def throughput_test(spark: SparkSession, workflows: DataFrame) -> DataFrame:
     """Welch's test of backup against restore throughput. The two read different sources."""
     rates = workflow_throughput(workflows)
     tested = significance.welch(rates, "workflow_type", "throughput_mib_s", "backup", "restore")
-    return significance.welch_with_p(spark, tested)
+    return significance.welch_with_p(tested)
 
 
 def event_spans(df: DataFrame, duration: str, kind: Column, label: Column) -> DataFrame:

@@ -19,10 +19,6 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFra
     )
 
 
-def trimmed_header(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
 def backup_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.BACKUP).withColumn("ended_at", wall_clock(F.col("timestamp")))
 

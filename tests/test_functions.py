@@ -2,13 +2,14 @@
 
 import base64
 import json
+import math
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from cycle_analytics.functions import clock, crypto, derive, documents, text
-from cycle_analytics.functions.student_t import two_sided_p
+from cycle_analytics.functions.student_t import log_gamma, two_sided_p
 
 
 def one(spark, column, **values):
@@ -82,10 +83,20 @@ def test_unsafe_paths(spark, path, bad):
     assert one(spark, text.unsafe_path(F.col("p")), p=path) is bad
 
 
-def test_student_t_matches_the_recorded_run():
-    assert two_sided_p(-3.9771, 20.011) == pytest.approx(7.4164e-4, rel=2e-4)
-    assert two_sided_p(0.0, 5.0) == pytest.approx(1.0)
-    assert two_sided_p(2.2281388, 10) == pytest.approx(0.05, rel=1e-6)
+def test_p_values_as_columns(spark):
+    cases = [  # t, degrees of freedom, two-sided p
+        (-3.9771, 20.011, 7.4164e-4), (0.0, 5.0, 1.0), (2.2281388519649385, 10.0, 0.05), (12.706204736174694, 1.0, 0.05),
+        (1.0, 1.0, 0.5), (-1.0, 2.0, 1 - 1 / 3**0.5), (1.959963984540054, 1e9, 0.05), (40.0, 30.0, 1.61e-27),
+        (0.001, 3.7, 0.99925), (3.2905267314919255, 1e6, 0.001),
+    ]
+    rows = spark.createDataFrame([(k, t, df) for k, (t, df, _) in enumerate(cases)] + [(99, None, 3.0)], "k int, t double, df double")
+    found = {r.k: r.p for r in rows.select("k", two_sided_p(F.col("t"), F.col("df")).alias("p")).collect()}
+    assert found.pop(99) is None
+    for k, (_, _, p) in enumerate(cases):
+        assert found[k] == pytest.approx(p, rel=2e-2 if p < 1e-20 else 2e-4), cases[k]
+    xs = [0.01, 0.5, 1.0, 1.5, 2.0, 7.25, 100.0, 12345.6]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", log_gamma(F.col("x")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12) for r in got)
 
 
 REQUESTS = [

@@ -132,3 +132,20 @@ def test_service_log(spark, tmp_path):
     assert [r["message"][:11] for r in log.where("level = 'GOOD'").collect()] == ["━━ restore "]
     spans = packages.cycle_progress(log).collect()
     assert [(r["chain_v"], r["cycle_id"], r["seconds"]) for r in spans] == [("chain-v2", "20260620_042019", 377.0)]
+
+
+def test_charts_bind_columns_by_name(spark, tmp_path):
+    from cycle_analytics.sources import charts
+
+    write(tmp_path / "p-system_load-converted.csv", 'timestamp,load1 (load), "load5 (load)" ,anomaly%,annotations\n01:00:00,1.5,-,0,"a, b"\n\n01:00:09,2,3\n')
+    write(tmp_path / "more" / "r-system_stall-raw.csv", "annotations,timestamp\n")  # its first cell is no stamp
+    write(tmp_path / "more" / "r-io-raw.csv", "Timestamp,timestamp,timestamp\r\n1781900067000,7,8\r\n")
+    found = charts.metric_charts(spark, str(tmp_path), "2026-06-20")
+    rows = sorted((r.host, r.chart, r.dim, r.unit, r.ts.isoformat(), r.value) for r in found.collect())
+    assert rows == [
+        ("backup", "io", "timestamp", None, "2026-06-20T03:14:27", 7.0), ("backup", "io", "timestamp_2", None, "2026-06-20T03:14:27", 8.0),
+        ("primary", "system_load", "load1", "load", "2026-06-20T01:00:00", 1.5), ("primary", "system_load", "load1", "load", "2026-06-20T01:00:09", 2.0),
+        ("primary", "system_load", "load5", "load", "2026-06-20T01:00:09", 3.0),
+    ]
+    zero = charts.metric_charts(spark, str(tmp_path), "2026-06-20", "zero").where("dim = 'load5'").collect()
+    assert sorted(r.value for r in zero) == [0.0, 3.0]
