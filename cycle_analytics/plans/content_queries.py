@@ -15,6 +15,7 @@ from cycle_analytics.session import new_folder, written
 from cycle_analytics.sources.mirror import Mirror
 from cycle_analytics.sources.sinks import assembled_files
 from cycle_analytics.sources.tables import table
+from cycle_analytics.streaming import service
 
 CHUNK_CHARS = 512
 
@@ -222,3 +223,48 @@ def file_delta(spark, root):
         F.col("key").alias("doc_id"), "bytes", "sha256", (F.coalesce("told", F.lit(0)) == F.col("bytes")).alias("complete"),
         (F.coalesce("literal", F.lit(0)) <= 3 * BLOCK + 9).alias("few_literals"),
     )
+
+
+_WANTED = """q AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS request_id, 'chain-' || ['de', 'en', 'es', 'fr', 'xx'][c_custkey % 5 + 1] AS chain_v,
+         c_custkey % 6 + 1 AS n, ['local', 'general', 'immutable'][c_custkey % 3 + 1] AS source, c_custkey % 11 = 0 AS bad FROM customer)"""
+
+
+@query(
+    f"""WITH {_HELD}, {_WANTED},
+        y AS (SELECT chain_v, cycle_id, bool_and(l OR g OR i) AS local, bool_and(g OR i) AS general, bool_and(i) AS immutable FROM c GROUP BY ALL),
+        p AS (SELECT chain_v, row_number() OVER w AS k, bool_and(local) OVER w AS local, bool_and(general) OVER w AS general, bool_and(immutable) OVER w AS immutable
+              FROM y WINDOW w AS (PARTITION BY chain_v ORDER BY cycle_id)),
+        o AS (SELECT q.request_id, any_value(bad) AS bad, count(p.k) FILTER (NOT bad) AS selected,
+                count(*) FILTER (NOT bad AND CASE source WHEN 'local' THEN local WHEN 'general' THEN general ELSE immutable END) AS delivered
+              FROM q LEFT JOIN p ON p.chain_v = q.chain_v AND p.k <= q.n GROUP BY q.request_id)
+        SELECT request_id, CASE WHEN bad OR selected = 0 OR delivered < selected THEN 'error' ELSE 'done' END AS state,
+          CASE WHEN bad THEN 'chain_below_one' WHEN selected = 0 THEN 'no_cycles' WHEN delivered < selected THEN 'not_whole' END AS reason,
+          CASE WHEN selected > 0 THEN selected END AS selected, delivered,
+          (SELECT count(DISTINCT d.doc_id) FROM documents d JOIN y ON y.chain_v = 'chain-' || d.lang AND y.cycle_id = d.source
+           JOIN (SELECT chain_v, cycle_id, row_number() OVER (PARTITION BY chain_v ORDER BY cycle_id) AS k FROM y) z ON z.chain_v = y.chain_v AND z.cycle_id = y.cycle_id
+           JOIN p ON p.chain_v = z.chain_v AND p.k = z.k
+           JOIN q ON q.chain_v = z.chain_v AND z.k <= q.n AND NOT q.bad AND q.k % 10 = 0
+             AND CASE q.source WHEN 'local' THEN p.local WHEN 'general' THEN p.general ELSE p.immutable END) AS files
+        FROM o"""
+)
+def stream_restore_service(spark, root):
+    """A request per customer, as documents on a stream: outcomes, and how many files stand at the destination."""
+    stored, ring = _stored_artifacts(spark, root), crypto.key_ring(spark, key=DUMMY_KEY)
+    k, base = F.col("c_custkey"), new_folder(spark, "service")
+
+    def pick(values, place):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (place + 1).cast("int"))
+
+    body = F.to_json(F.struct(
+        F.concat(F.lit("chain-"), pick(("de", "en", "es", "fr", "xx"), k % 5)).alias("version"),
+        F.when(k % 11 == 0, 0).otherwise(k % 6 + 1).alias("chain"), pick(replicas.SOURCES, k % 3).alias("source"),
+        (k % 10 == 0).alias("send_to_vm1"),
+    ))
+    table(spark, root, "customer").select(k.cast("string").alias("request_id"), body.alias("body")).write.parquet(f"{base}/requests")
+    sealed = stored.groupBy(*replicas.FILE).agg(F.count(F.lit(1)).alias("n_chunks"))
+    held = service.Holdings(stored.select(*replicas.CYCLE).distinct(), damaged_replicas(stored), sealed, ring)
+    store = service.new_store(spark, f"{base}/store")
+    stream = spark.readStream.schema("request_id string, body string").parquet(f"{base}/requests")
+    service.serve(stream, store, held, f"{base}/incoming", once=True).awaitTermination()
+    files = store.read("delivered").select(F.count_distinct("path")).scalar()
+    return store.read("outcomes").drop("batch").withColumn("files", files)
