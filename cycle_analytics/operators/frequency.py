@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cycle_analytics.operators.grid import regular_grid
+
 
 def frequencies(df: DataFrame, key: str) -> DataFrame:
     """Count, percentage and grand total per value; missing values are left out."""
@@ -34,9 +36,8 @@ def bucket_counts(df: DataFrame, ts: str, key: str, minutes: int = 5) -> DataFra
 
 def zero_filled(counts: DataFrame, key: str, minutes: int = 5) -> DataFrame:
     """Add the empty buckets between the first and the last bucket of each key."""
-    step = F.expr(f"interval {minutes} minutes")
     ranges = counts.groupBy(key).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    grid = ranges.select(key, F.explode(F.sequence("lo", "hi", step)).alias("bucket"))
+    grid = regular_grid(ranges, "lo", "hi", 60 * minutes, [key], "bucket")
     return grid.join(counts, [key, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -141,3 +141,13 @@ def test_prefix_and_counter_rules(spark, split):
     polls = spark.createDataFrame([("h", 1, 0, 0), ("h", 2, 25, 100), ("h", 3, 25, 100)], "h string, k int, idle int, total int")
     rates = counter_rate(polls, ["h"], ["k"], "idle", "total", split=split).collect()
     assert {r["k"]: r["busy_percent"] for r in rates} == {1: None, 2: 75.0, 3: 0.0}
+
+
+def test_grids_in_blocks_are_whole(spark, monkeypatch):
+    from cycle_analytics.operators import grid
+
+    monkeypatch.setattr(grid, "SLOTS_A_BLOCK", 7)
+    bounds = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2026-01-01 00:00:05', timestamp_ntz'2026-01-01 00:10:00'), ('b', timestamp_ntz'2026-01-01', timestamp_ntz'2026-01-01'), ('c', timestamp_ntz'2026-01-02', timestamp_ntz'2026-01-01') AS t(k, lo, hi)")
+    got = sorted((r.k, r.slot.isoformat()) for r in grid.regular_grid(bounds, "lo", "hi", 42, ["k"]).collect())
+    want = bounds.where("lo <= hi").selectExpr("k", "explode(sequence(lo, hi, interval 42 seconds)) AS slot").collect()
+    assert got == sorted((r.k, r.slot.isoformat()) for r in want) and len(got) == 16
