@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto
 from cycle_analytics.operators import integrity
+from cycle_analytics.operators.requests import unclaimed
 from cycle_analytics.plans.integrity_queries import CHUNK_BYTES, DUMMY_KEY
 from cycle_analytics.plans.registry import query
 from cycle_analytics.plans.restore import point_in_time_plan
 from cycle_analytics.session import make_folder, new_folder, written
-from cycle_analytics.sources import charts, listing, sinks
+from cycle_analytics.sources import charts, listing, packages, sinks
 from cycle_analytics.sources.packages import placed_files
 from cycle_analytics.sources.tables import table
 from cycle_analytics.streaming import passes, states
@@ -246,3 +247,64 @@ def metric_charts(spark, root):
     return charts.metric_charts(spark, base, "2026-06-20").groupBy("host", "chart", "dim", "unit").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")
     )
+
+
+@query(
+    f"""SELECT DISTINCT 'chain-' || lang AS chain_v, {_CYCLE}, lang AS chain_version, 'mongo' AS components,
+          strftime(TIMESTAMP '2026-06-01 08:00:00' + to_days(CAST(regexp_extract(source, '[0-9]+$') AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS cycle_timestamp,
+          TIMESTAMP '2026-06-01 01:00:00' + to_days(CAST(regexp_extract(source, '[0-9]+$') AS INTEGER)) AS cycle_at FROM documents"""
+)
+def manifest_scan(spark, root):
+    """Manifest documents of packages, with their instants."""
+    base = new_folder(spark, "manifests")
+    put_files(package_chunks(spark, root, F.lit(False)).where(F.col("path").endswith(integrity.MANIFEST_FILE)), base)
+    stamped = packages.manifest_stamps(packages.manifests(spark, base))
+    return stamped.select(
+        *KEY, F.col("manifest_summary.chain_version").alias("chain_version"), F.array_join("manifest_summary.components", ",").alias("components"),
+        "cycle_timestamp", F.col("cycle_at").cast("timestamp_ntz").alias("cycle_at"),
+    )
+
+
+@query(
+    f"""SELECT 'chain-' || lang AS chain_v, {_CYCLE}, count(*) FILTER (doc_id % 97 <> 0) AS files_ok, count(*) FILTER (doc_id % 97 = 0) AS files_failed,
+          count(*) FILTER (doc_id % 97 = 0) = 0 AS ready FROM documents GROUP BY ALL"""
+)
+def package_readiness_scan(spark, root):
+    """Packages as files, some altered: their lists, their contents, and which are ready."""
+    base = new_folder(spark, "ready-packages")
+    put_files(package_chunks(spark, root, F.col("doc_id") % 97 == 0), base)
+    found = written(packages.files(spark, base).drop("content"), "package-files")
+    judged = integrity.readiness(found, packages.checksum_lists(spark, base))
+    return judged.select(*KEY, "files_ok", "files_failed", "ready")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS request_id, CAST(c_custkey % 9 + 1 AS BIGINT) AS chain FROM customer WHERE c_custkey % 3 <> 0")
+def request_file_scan(spark, root):
+    """Request files of which some have a done marker; those that have none are open."""
+    k, base = F.col("c_custkey"), new_folder(spark, "request-files")
+    name = k.cast("string")
+    customers = table(spark, root, "customer")
+    body = F.to_json(F.struct(F.lit("chain-v1").alias("version"), (k % 9 + 1).alias("chain")))
+    requests = customers.select(F.concat(F.lit("in/"), name, F.lit(".json")).alias("path"), F.lit(0).alias("chunk_no"), body.cast("binary").alias("chunk"))
+    done = customers.where(k % 3 == 0).select(F.concat(F.lit("in/"), name, F.lit(".done")).alias("path"), F.lit(0).alias("chunk_no"), F.lit(b"ok").alias("chunk"))
+    put_files(requests.unionByName(done), base)
+    open_ = unclaimed(packages.request_documents(spark, f"{base}/in"), packages.done_markers(spark, f"{base}/in"))
+    return open_.select("request_id", F.get_json_object("body", "$.chain").cast("bigint").alias("chain"))
+
+
+@query(
+    """SELECT 'chain-v' || (o_custkey % 3 + 1) AS chain_v, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS cycle_id, 'AES-256-GCM' AS alg,
+         CASE WHEN o_orderkey % 5 <> 0 THEN '2026-06-20T01:00:00' END AS cycle_timestamp, CAST(1 + o_orderkey % 2 AS BIGINT) AS copies FROM orders"""
+)
+def catalog_documents_append(spark, root):
+    """Catalog documents appended in two writes, the second of which repeats some; absent values are left out."""
+    k = F.col("o_orderkey")
+    rows = table(spark, root, "orders").select(
+        F.lit(crypto.ALGORITHM).alias("alg"), F.concat(F.lit("chain-v"), (F.col("o_custkey") % 3 + 1).cast("string")).alias("chain_v"),
+        F.lpad(k.cast("string"), 12, "0").alias("cycle_id"), F.when(k % 5 != 0, "2026-06-20T01:00:00").alias("cycle_timestamp"), k.alias("_k"),
+    )
+    path = new_folder(spark, "catalog-documents")
+    sinks.append_documents(rows.drop("_k"), path)
+    sinks.append_documents(rows.where("_k % 2 = 1").drop("_k"), path)
+    back = packages.catalog_documents(spark, path, pattern="*", multi_line=False)
+    return back.groupBy("chain_v", "cycle_id", "alg", "cycle_timestamp").agg(F.count(F.lit(1)).alias("copies"))

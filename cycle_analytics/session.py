@@ -20,6 +20,7 @@ SETTINGS = {
 }
 
 _local_roots: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str, master: str | None = None, **extra: str) -> SparkSession:
@@ -54,8 +55,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder; the writer creates it."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; the writer creates it, and `clear_work` removes it."""
+    path = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Remove the folders this session made, once their frames were consumed; returns how many there were."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:

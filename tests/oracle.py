@@ -58,7 +58,7 @@ def differences(con, df, sql: str) -> list[str]:
 
 def main(argv: list[str]) -> int:
     import __spark_entry__ as contract
-    from cycle_analytics.session import build_session
+    from cycle_analytics.session import build_session, clear_work
 
     root = "/root/testdata/sf0.01"
     if "--sf" in argv:
@@ -82,6 +82,7 @@ def main(argv: list[str]) -> int:
                 problems = [] if df.count() else ["no rows"]
         except Exception as error:  # noqa: BLE001
             problems = [f"{type(error).__name__}: {str(error)[:1500]}"]
+        clear_work(spark)
         failed += bool(problems)
         mark = "ok" if not problems else "DIFF"
         note = "" if name in oracles else " (rows only)"

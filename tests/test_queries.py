@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from cycle_analytics.plans import ORACLES, QUERIES
+from cycle_analytics.session import clear_work, folder_names, shared_root
 from tests.oracle import database, differences
 
 
@@ -22,5 +23,11 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert differences(con, contract.queries()[name](spark, sf_dir), contract.oracle_sql()[name]) == []
 
 
+def test_work_folders_can_be_removed(spark, sf_dir):
+    assert contract.queries()["cycle_inventory"](spark, sf_dir).count() > 0
+    assert any(name.startswith("packages-") for name in folder_names(spark, shared_root(spark)))
+    assert clear_work(spark) > 0 and clear_work(spark) == 0
+
+
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
