@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,3 +36,28 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8_000_000) -> Iterat
         held += int(size)
     if first < batch.num_rows:
         yield batch.slice(first)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task otherwise keeps its largest batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def freed(work: Work) -> Work:
+    """A task's function over Arrow batches that gives its memory back at the end."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run

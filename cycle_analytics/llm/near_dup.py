@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cycle_analytics.llm.common import only, slices
+from cycle_analytics.llm.common import freed, only, slices
 from cycle_analytics.llm.components import Forest, components
 from cycle_analytics.session import written
 
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
-        sketch, f"id {kind}, n_shingles long, set_digest binary, bands array<long>, marks binary"
+        freed(sketch), f"id {kind}, n_shingles long, set_digest binary, bands array<long>, marks binary"
     )
 
 
@@ -168,7 +168,7 @@ def likely(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(fits))
 
     kind = pairs.schema["low"].dataType.simpleString()
-    return sized.mapInArrow(test, f"low {kind}, high {kind}")
+    return sized.mapInArrow(freed(test), f"low {kind}, high {kind}")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -197,7 +197,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     kind = pairs.schema["low"].dataType.simpleString()
-    return both.mapInArrow(test, f"low {kind}, high {kind}")
+    return both.mapInArrow(freed(test), f"low {kind}, high {kind}")
 
 
 def unresolved(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def samples(texts: DataFrame, words: int) -> DataFrame:
                 )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(draw, f"rep {kind}, n long, level int, sample binary")
+    return texts.select("id", "text").mapInArrow(freed(draw), f"rep {kind}, n long, level int, sample binary")
 
 
 def sampled_pairs(mine: list[int], other: list[int], n: np.ndarray, level: int, sets: list[np.ndarray], percent: int):

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cycle_analytics.llm.common import only, slices
+from cycle_analytics.llm.common import freed, only, slices
 from cycle_analytics.session import written
 
 WINDOW = 4096
@@ -157,7 +157,7 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabu
     )
     kind = docs.schema[id_col].dataType.simpleString()
     return frame.mapInArrow(
-        solve, f"part int, queue string, id {kind}, start long, n long, ids binary, width int"
+        freed(solve), f"part int, queue string, id {kind}, start long, n long, ids binary, width int"
     )
 
 
@@ -271,7 +271,7 @@ def cut_documents(parts: DataFrame, queues: DataFrame, window: int, kind: str) -
                 )
 
     return rows.mapInArrow(
-        cut, f"queue string, id {kind}, round long, first long, start long, n long, doc_tokens long, ids binary, width int"
+        freed(cut), f"queue string, id {kind}, round long, first long, start long, n long, doc_tokens long, ids binary, width int"
     )
 
 
@@ -287,7 +287,7 @@ def widened(pieces: DataFrame) -> DataFrame:
             ]
             yield batch.set_column(place, "token_ids", pa.array(wide, pa.binary())).select(kept)
 
-    return pieces.mapInArrow(widen, pieces.drop("width").schema)
+    return pieces.mapInArrow(freed(widen), pieces.drop("width").schema)
 
 
 def pack(
