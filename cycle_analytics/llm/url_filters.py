@@ -52,15 +52,15 @@ def filter_urls(
 ) -> DataFrame:
     """Host, path, winning rule and verdict of every page row.
 
-    `rules` has (verdict, host, path). The longest expression wins: the longer host first, then the longer
-    path; of equal rules with both verdicts, block wins. Rows with any null are no rules.
+    `rules` has (verdict, host, path). The longest rule wins, host and path counted together; of equally long
+    ones that with the longer host; of equal rules with both verdicts, block wins. Rows with any null are no rules.
     Returns id, host, path, rule (host and path run together), verdict.
     """
     listed = rules.select("verdict", F.lower("host").alias("host"), "path").dropna()
     listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     keyed = listed.select(
         "verdict", F.concat("host", "path").alias("rule"), digest(F.col("host"), F.col("path")).alias("full"),
-        F.char_length("host").alias("host_len"), F.char_length("path").alias("path_len"),
+        F.char_length(F.concat("host", "path")).alias("rule_len"), F.char_length("host").alias("host_len"),
     ).withColumn("prefix", short(F.col("full")))
     # One row: the lengths that rule paths have. It bounds the expansion of a URL.
     lengths = listed.agg(F.collect_set(F.char_length("path")).alias("path_lengths"))
@@ -72,7 +72,7 @@ def filter_urls(
     judged = expanded(sited.select("host", "path").distinct(), lengths)
     hits = judged.join(keyed, "prefix").where(judged["full"] == keyed["full"])
     best = hits.groupBy("host", "path").agg(
-        F.max(F.struct("host_len", "path_len", "rule", "verdict")).alias("best")
+        F.max(F.struct("rule_len", "host_len", "rule", "verdict")).alias("best")
     ).select(F.col("host").alias("h"), F.col("path").alias("p"), "best")
     return sited.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),

@@ -1,6 +1,7 @@
 """Operators of the training-data pipeline against brute force, exact round trips and odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,10 +98,15 @@ def test_repeated_passages_match_brute_force(spark, block, monkeypatch):
     docs += [(20, other), (21, other), (21, other), (22, prose(90) + other[:399]), (None, shared + other), (23, None), (24, ""), (25, "ab" * 700)]
     monkeypatch.setattr(repeats.marks_of, "__defaults__", (repeats.LENGTH, block))
     got = repeats.run_query(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect()), key=str) == cut_by_hand(docs, 400)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == cut_by_hand(docs, 400)
     assert repeats.run_query(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_cut_takes_any_column_names(spark):
+    frame = spark.createDataFrame([(1, "a", True, 1)], "doc_id long, text string, none boolean, none_ int")
+    assert [tuple(r) for r in repeats.without_repeats(frame).collect()] == [(1, "a", True, 1)]
+
+
 def test_cut_keeps_rows_and_columns(odd):
     cut = repeats.without_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == len(ODD)
@@ -237,18 +243,49 @@ def test_archives_round_trip(spark):
     assert warc.run_query(frame.limit(0)).count() == 0
 
 
+def top_k_by_hand(rows, k=5):
+    """(query_id, rank, vec_id, score) of each row whose id is divisible by 50, in plain whole numbers."""
+    whole = [
+        (i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            others = [(sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v)]
+            best = sorted((-min(max(s, -(1 << 63)), (1 << 63) - 1), i) for s, i in others)[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def found_by_search(spark, rows):
+    got = vector_search.run_query(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect())
+
+
 def test_top_k_matches_brute_force(spark):
     draw = np.random.default_rng(6)
-    vectors = [(k, [float(x) for x in draw.normal(size=8)]) for k in range(220)]
-    vectors += [(300, vectors[3][1]), (301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (None, [1.0] * 8), (350, vectors[0][1])]
-    got = vector_search.run_query(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
-    whole = {k: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for k, v in vectors if k is not None and k not in (301, 302, 303)}
-    want = set()
-    for q in whole:
-        if q % 50 == 0:
-            best = sorted(((-int(whole[q] @ whole[v]), v) for v in whole if v != q))[:5]
-            want |= {(q, rank, v, -s) for rank, (s, v) in enumerate(best, 1)}
-    assert {tuple(r) for r in got.collect()} == want
+    rows = [(k, [float(x) for x in draw.normal(size=8)]) for k in range(220)]
+    rows += [(300, rows[3][1]), (301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (None, [1.0] * 8), (350, rows[0][1])]
+    rows += [(50, rows[50][1]), (51, rows[51][1]), (51, rows[51][1]), (100, [0.5] * 8)]  # repeated rows, an id with two vectors
+    rows += [(k, [0.25] * 8) for k in range(400, 460)] + [(500, [1.0, 2.0]), (501, [3.0, 4.0]), (550, [-0.0] * 8), (551, [0.0] * 8)]
+    assert found_by_search(spark, rows) == top_k_by_hand(rows)
+    assert found_by_search(spark, []) == [] and found_by_search(spark, rows[:1]) == []
+
+
+def test_top_k_of_large_components(spark):
+    draw = np.random.default_rng(7)
+    rows = [(k * 10, [float(x) for x in draw.normal(size=4) * 10.0 ** draw.integers(-2, 8)]) for k in range(60)]
+    rows += [(1001, [1e30, 0.0, 0.0, -1.0]), (1050, [1e7, -1e7, 1.0, 0.0]), (1051, [1e7, 1e7, 0.5, 0.0]), (1100, [-3e38, 3e38, 1.0, 1.0]), (1101, [1e-30, 0.0, 0.0, 0.0])]
+    assert found_by_search(spark, rows) == top_k_by_hand(rows)
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(k, [float(x) for x in draw.integers(-3, 4, size=6)]) for k in range(900)]
+    monkeypatch.setattr(vector_search, "BLOCK", 40)
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 3)
+    assert found_by_search(spark, rows) == top_k_by_hand(rows)
 
 
 def test_url_filters(spark):
@@ -261,6 +298,10 @@ def test_url_filters(spark):
     rows = by_id(url_filters.run_query(frame), "page_id")
     assert [(rows[k].rule, rows[k].verdict) for k in range(len(urls))] == [(r, v) for _, r, v in urls]
     assert rows[0].host == "x.example.org" and rows[0].path == "/es/1" and (rows[5].host, rows[6].path) == ("", "")
+    rules = spark.createDataFrame([("allow", "a.com", "/"), ("block", "com", "/very/long/path/")], "verdict string, host string, path string")
+    page = spark.createDataFrame([(1, "http://a.com/very/long/path/x"), (2, "http://a.com/very/x")], "page_id long, url string")
+    longest = {r.page_id: (r.rule, r.verdict) for r in url_filters.filter_urls(page, rules).collect()}
+    assert longest == {1: ("com/very/long/path/", "block"), 2: ("a.com/", "allow")}
     none = url_filters.filter_urls(frame, url_filters.rule_table(spark).limit(0))
     assert {r.verdict for r in none.collect()} == {"allow"}
 
