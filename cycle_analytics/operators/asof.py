@@ -22,15 +22,12 @@ def asof_peak(
     """For each probe the largest value among points with `point_ts` <= `probe_ts`.
 
     The peak, not the last value: the two differ once a counter has fallen.
-    Points sort before probes of the same instant, which makes the bound inclusive.
+    Points sort before probes of the same instant, which makes the bound inclusive. Points of one instant
+    become one first, so however many there are, they fill no block.
     """
     keys = keys or []
-    left = points.select(
-        *keys,
-        F.col(point_ts).alias(_TS),
-        F.lit(0).alias(_PROBE),
-        *[v.alias(f"_v_{n}") for n, v in values.items()],
-    )
+    known = points.select(*keys, F.col(point_ts).alias(_TS), *[v.alias(f"_v_{n}") for n, v in values.items()])
+    left = known.groupBy(*keys, _TS).agg(*[F.max(f"_v_{n}").alias(f"_v_{n}") for n in values]).withColumn(_PROBE, F.lit(0))
     right = probes.select(
         *keys,
         F.col(probe_ts).alias(_TS),
