@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cycle_analytics.llm.common import only, slices
+from cycle_analytics.llm.common import freed, only, slices
 from cycle_analytics.llm.near_dup import MIX_A, MIX_B, STEP, hash_of, mixed
 from cycle_analytics.llm.run_index import RunIndex
 from cycle_analytics.session import written
@@ -65,7 +65,7 @@ def in_words(rows: DataFrame) -> DataFrame:
                     [batch.column(0), batch.column(1), pa.array(coded, pa.binary())], names=["id", "th", "text"]
                 )
 
-    return rows.mapInArrow(code, f"id {rows.schema['id'].dataType.simpleString()}, th long, text binary")
+    return rows.mapInArrow(freed(code), f"id {rows.schema['id'].dataType.simpleString()}, th long, text binary")
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def spans(rows: DataFrame, length: int) -> DataFrame:
                     names=["id", "th", "anchor", "digest", "start", "n"],
                 )
 
-    return rows.mapInArrow(cut, SPAN_SCHEMA.format(kind=rows.schema["id"].dataType.simpleString()))
+    return rows.mapInArrow(freed(cut), SPAN_SCHEMA.format(kind=rows.schema["id"].dataType.simpleString()))
 
 
 def same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -145,8 +145,8 @@ def with_bytes(reps: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     wanted = reps.groupBy("id", "th").agg(
         F.collect_list(F.struct("start", "n", "anchor", "block", "big", "alone")).alias("wanted")
     )
-    # Rows that are wholly equal have the same spans; one of them is enough.
-    met = same_document(rows.dropDuplicates(["id", "th"]), wanted, "inner").select("id", "th", "text", "wanted")
+    # Rows that are wholly equal have the same spans; one of them is enough. Only texts with spans get so far.
+    met = same_document(rows, wanted, "inner").select("id", "th", "text", "wanted").dropDuplicates(["id", "th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,7 +167,7 @@ def with_bytes(reps: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 )
 
     return met.mapInArrow(
-        cut, f"id {kind}, th long, start long, n int, anchor long, block long, big boolean, alone boolean, data binary"
+        freed(cut), f"id {kind}, th long, start long, n int, anchor long, block long, big boolean, alone boolean, data binary"
     )
 
 
@@ -222,7 +222,7 @@ def window_marks(big_rows: DataFrame, length: int) -> DataFrame:
                     names=["id", "th", "alone", "begin", "digest"],
                 )
 
-    listed = big_rows.mapInArrow(list_windows, f"id {kind}, th long, alone boolean, begin long, digest binary")
+    listed = big_rows.mapInArrow(freed(list_windows), f"id {kind}, th long, alone boolean, begin long, digest binary")
     twice = listed.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
     return listed.where("alone").join(twice, "digest", "left_semi").select("id", "th", "begin", F.lit(1).cast("long").alias("n"))
 
@@ -327,7 +327,7 @@ def cut_rows(rows: DataFrame, carried: str, length: int, words: int | None = Non
 
     kind = met.schema[carried].dataType.simpleString()
     return met.mapInArrow(
-        cut, f"{carried} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+        freed(cut), f"{carried} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
 
 
@@ -345,14 +345,17 @@ def without_repeats(
     """
     others = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    row = F.struct(F.col(f"`{text_col}`").isNull().alias("_none"), *[F.col(f"`{c}`") for c in others])
+    none = "none"
+    while none in docs.columns:
+        none += "_"
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias(none), *[F.col(f"`{c}`") for c in others])
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), row.alias("row"))
     done = cut_rows(rows, "row", length, words)
-    kept = F.when(~F.col("row")["_none"], F.col("kept_text"))
+    kept = F.when(~F.col("row")[none], F.col("kept_text"))
     return done.select(*[
         kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns
     ])
 
 
 def run_query(docs: DataFrame) -> DataFrame:
-    return cut_documents(only(docs, "doc_id", "text")).drop("kept_text")
+    return cut_documents(only(docs, "doc_id", "text"))
