@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cycle_analytics.session import is_small, plan_bytes, written
+from cycle_analytics.session import input_bytes, is_small, written
 
 HOT_ROWS = 5_000_000
 BLOCK_BYTES = 256 * 1024 * 1024
@@ -116,13 +116,14 @@ def _in_groups(df: DataFrame, keys: list[str], order: list[str], measures: dict[
     return out.drop(*[f"_in_{n}" for n in measures])
 
 
+def block_count(df: DataFrame) -> int:
+    """Blocks for the rows of a frame, by what it reads: the estimate of a plan multiplies the sides of each join."""
+    blocks, estimate = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    return max(blocks, math.ceil(estimate / BLOCK_BYTES)) if estimate < UNKNOWN_BYTES else blocks
+
+
 def _in_blocks(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure]) -> DataFrame:
-    spark = df.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    estimate = plan_bytes(df)
-    if estimate < UNKNOWN_BYTES:
-        blocks = max(blocks, math.ceil(estimate / BLOCK_BYTES))
-    ranged = df.repartitionByRange(blocks, *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
+    ranged = df.repartitionByRange(block_count(df), *keys, *order).withColumn(_BLOCK, F.spark_partition_id())
     rows = written(ranged, "ordered-blocks")
 
     by = [*keys, _BLOCK]

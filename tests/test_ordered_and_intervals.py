@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.operators.asof import asof_peak, latest_before, state_label
 from cycle_analytics.operators.intervals import span_stats, window_peak_after
-from cycle_analytics.operators.ordered import number, peak, previous, running, total
+from cycle_analytics.operators.ordered import block_count, number, peak, previous, running, total
 from cycle_analytics.operators.sequence import counter_rate, oldest_n, prefix_ok, replay_prefix
 
 T0 = datetime(2026, 6, 20, 23, 0, 0)
@@ -48,6 +48,12 @@ def test_running_values_agree_with_brute_force(spark, keys):
         assert {r["id"]: (r["n"], r["s"], r["m"], r["p"]) for r in got.collect()} == expected
 
 
+def test_blocks_follow_what_is_read_not_the_product_of_joins(spark):
+    rows = spark.range(1_000_000)
+    joined = rows.join(rows.withColumn("v", F.col("id") * 2), "id")
+    assert block_count(joined) == block_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("split,bucket_rows", [(False, 10), (True, 5)])
 @pytest.mark.parametrize("closed", [True, False])
 def test_span_stats_agree_with_brute_force(spark, split, bucket_rows, closed):
