@@ -19,7 +19,8 @@ UNITS = [
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNITS, "unit string, shown_unit string, divisor double")
+    """The fixed units. A constant of a few rows goes to every task: a few units make few keys, and a shuffle by them few large tasks."""
+    return F.broadcast(spark.createDataFrame(UNITS, "unit string, shown_unit string, divisor double"))
 
 
 def wide_to_long(df: DataFrame, ids: list[str], dims: dict[str, str], units: dict[str, str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import clock, crypto, derive, documents, text
 from cycle_analytics.functions.student_t import log_gamma, two_sided_p
+from cycle_analytics.operators import reshape
 
 
 def one(spark, column, **values):
@@ -195,3 +196,10 @@ def test_key_text_rules(spark, monkeypatch):
     assert one(spark, crypto.key_is_valid(F.col("k")), k="###") is False
     monkeypatch.setenv(crypto.KEY_VARIABLE, good)
     assert bytes(crypto.key_ring(spark).first()["aes_key"]) == KEY
+
+
+def test_values_are_not_dealt_by_their_unit(spark):
+    rows = spark.range(5).select("id", (F.col("id") * 2048.0).alias("v"))
+    found = reshape.shown(reshape.wide_to_long(rows, ["id"], {"v": "size"}, {"v": "mebibytes"}), reshape.unit_table(spark))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["shown_value"], r["shown_unit"]) for r in found.collect()) == [(k, 2.0 * k, "GiBy") for k in range(5)]
