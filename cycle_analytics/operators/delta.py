@@ -12,7 +12,8 @@ moves what follows without changing it.
    continue each other are joined, gaps are literals.
 
 Files are given in chunk rows: old ones in blocks, new ones in parts that reach `block - 1` bytes into the next part.
-Stretches that repeat (zeros, say) name as many places per block length as their period has bytes. The old file's last, shorter block is literal.
+Stretches that repeat (zeros, say) hold a block at every period; its places at equal steps are one row, so a part names as many
+rows as the period has bytes, and every place counts. The old file's last, shorter block is literal.
 """
 
 from __future__ import annotations
@@ -108,7 +109,10 @@ def file_filters(signed: DataFrame) -> DataFrame:
 
 
 def likely_places(parts: DataFrame, filters: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key, place, strong of the blocks of the new version that the filter of their file lets through."""
+    """key, place, until, step, strong of the blocks of the new version that the filter of their file lets through.
+
+    A row names the places from `place` to `until`, `step` apart, that hold the same block.
+    """
     met = parts.join(filters, "key").select("key", "begin", "size", "data", "groups", "bits")
     kind = met.schema["key"].dataType.simpleString()
 
@@ -125,57 +129,87 @@ def likely_places(parts: DataFrame, filters: DataFrame, block: int = BLOCK) -> D
                 for bit in bits_of(weak):
                     bit %= groups * FILTER_BITS
                     open_ &= (flat[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                places, digests, last, told = [], [], {}, set()
+                runs, last = [], {}
                 for at in np.flatnonzero(open_).tolist():
                     digest = strong(data[at : at + block])
-                    # Where bytes repeat, what continues a place told before is enough.
-                    if at - last.get(digest, -block) >= block or at - block in told:
-                        last[digest] = at
-                        told.add(at)
-                        places.append(begin + at)
-                        digests.append(digest)
+                    run = last.get(digest)
+                    if run and at - run[1] < block and run[2] in (0, at - run[1]):
+                        run[1:3] = at, at - run[1]
+                    else:
+                        last[digest] = run = [at, at, 0, digest]
+                        runs.append(run)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([row] * len(places), pa.int64())), pa.array(places, pa.int64()), pa.array(digests, pa.binary())],
-                    names=["key", "place", "strong"],
+                    [
+                        batch.column(0).take(pa.array([row] * len(runs), pa.int64())), pa.array([begin + r[0] for r in runs], pa.int64()),
+                        pa.array([begin + r[1] for r in runs], pa.int64()), pa.array([r[2] for r in runs], pa.int64()),
+                        pa.array([r[3] for r in runs], pa.binary()),
+                    ],
+                    names=["key", "place", "until", "step", "strong"],
                 )
 
-    return met.mapInArrow(look, f"key {kind}, place bigint, strong binary")
+    return met.mapInArrow(look, f"key {kind}, place bigint, until bigint, step bigint, strong binary")
 
 
 def instructions(blocks: DataFrame, parts: DataFrame, block: int = BLOCK) -> DataFrame:
     """key, place, length, source: copies from `source` in the old version, literals where it is NULL. In order they give the new version."""
     signed = signatures(blocks, block)
     proof = signed.groupBy("key", "strong").agg(F.min("block_no").alias("block_no"))
-    matches = likely_places(parts, file_filters(signed), block).join(proof, ["key", "strong"]).select("key", "place", "block_no")
-    ends = parts.groupBy("key").agg(F.max(F.col("begin") + F.col("size")).alias("place")).select("key", "place", F.lit(None).cast("bigint").alias("block_no"))
+    matches = likely_places(parts, file_filters(signed), block).join(proof, ["key", "strong"]).select("key", "place", "block_no", "until", "step")
+    none = F.lit(None).cast("bigint")
+    ends = parts.groupBy("key").agg(F.max(F.col("begin") + F.col("size")).alias("place")).select(
+        "key", "place", none.alias("block_no"), none.alias("until"), none.alias("step")
+    )
     # A file's last row is its end, so that every file passes.
     lined = matches.unionByName(ends).repartition("key").sortWithinPartitions("key", "place", F.col("block_no").asc_nulls_last())
     kind = lined.schema["key"].dataType.simpleString()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, copy = 0, None  # the end of what is told, and the open copy (place, length, source)
+        # The end of what is told, the open copy (place, length, source), and the rows that name places beyond that end.
+        at, copy, named = 0, None, []
+        rows, out = [], []
+
+        def tell(row: int, place: int, length: int, source: int | None) -> None:
+            if length:
+                rows.append(row)
+                out.append((place, length, source))
+
+        def take(row: int, place: int, number: int) -> None:
+            nonlocal at, copy
+            if copy and (place > at or number * block != copy[2] + copy[1]):
+                tell(row, *copy)
+                copy = None
+            if place > at:
+                tell(row, at, place - at, None)
+            copy = (copy[0], copy[1] + block, copy[2]) if copy else (place, block, number * block)
+            at = place + block
+
+        def pass_to(row: int, end: int) -> None:
+            """Take matches in order up to a place from where rows are yet to come."""
+            while named:
+                ahead = []
+                for number, place, until, step in named:
+                    if place < at and step:
+                        place += -(-(at - place) // step) * step
+                    if at <= place <= until:
+                        ahead.append((number, place, until, step))
+                named[:] = ahead
+                number, place = min(((n, p) for n, p, *_ in ahead), key=lambda x: x[1], default=(0, end))
+                if place >= end:
+                    return
+                take(row, place, number)
 
         for batch in batches:
             rows, out = [], []
-
-            def tell(row: int, place: int, length: int, source: int | None) -> None:
-                if length:
-                    rows.append(row)
-                    out.append((place, length, source))
-
-            for row, (place, number) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                if number is not None and place < at:
+            for row, (place, number, until, step) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)))):
+                pass_to(row, place)
+                if number is not None:
+                    named.append((number, place, until, step))
                     continue
-                if copy and (number is None or place > at or number * block != copy[2] + copy[1]):
+                if copy:
                     tell(row, *copy)
-                    copy = None
-                if place > at:
-                    tell(row, at, place - at, None)
-                if number is None:
-                    at, copy = 0, None
-                else:
-                    copy = (copy[0], copy[1] + block, copy[2]) if copy else (place, block, number * block)
-                    at = place + block
+                tell(row, at, place - at, None)
+                at, copy = 0, None
+                named.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3))],
                 names=["key", "place", "length", "source"],
