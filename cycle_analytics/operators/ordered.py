@@ -13,19 +13,16 @@ Both ways give the same values.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cycle_analytics.session import input_bytes, is_small, written
+from cycle_analytics.session import is_small, tasks_for, written
 
 HOT_ROWS = 5_000_000
 BLOCK_BYTES = 256 * 1024 * 1024
-# The optimizer reports sizes near the largest long where it knows nothing.
-UNKNOWN_BYTES = 2**50
 _BLOCK = "_block"
 
 
@@ -117,9 +114,8 @@ def _in_groups(df: DataFrame, keys: list[str], order: list[str], measures: dict[
 
 
 def block_count(df: DataFrame) -> int:
-    """Blocks for the rows of a frame, by what it reads: the estimate of a plan multiplies the sides of each join."""
-    blocks, estimate = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
-    return max(blocks, math.ceil(estimate / BLOCK_BYTES)) if estimate < UNKNOWN_BYTES else blocks
+    """Blocks for the rows of a frame."""
+    return tasks_for(df, BLOCK_BYTES)
 
 
 def _in_blocks(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure]) -> DataFrame:

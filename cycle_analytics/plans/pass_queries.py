@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto
 from cycle_analytics.operators import integrity
-from cycle_analytics.operators.requests import unclaimed
 from cycle_analytics.plans.integrity_queries import CHUNK_BYTES, DUMMY_KEY
 from cycle_analytics.plans.registry import query
 from cycle_analytics.plans.restore import point_in_time_plan
@@ -288,8 +287,7 @@ def request_file_scan(spark, root):
     requests = customers.select(F.concat(F.lit("in/"), name, F.lit(".json")).alias("path"), F.lit(0).alias("chunk_no"), body.cast("binary").alias("chunk"))
     done = customers.where(k % 3 == 0).select(F.concat(F.lit("in/"), name, F.lit(".done")).alias("path"), F.lit(0).alias("chunk_no"), F.lit(b"ok").alias("chunk"))
     put_files(requests.unionByName(done), base)
-    open_ = unclaimed(packages.request_documents(spark, f"{base}/in"), packages.done_markers(spark, f"{base}/in"))
-    return open_.select("request_id", F.get_json_object("body", "$.chain").cast("bigint").alias("chain"))
+    return packages.open_requests(spark, f"{base}/in").select("request_id", F.get_json_object("body", "$.chain").cast("bigint").alias("chain"))
 
 
 @query(

@@ -11,10 +11,10 @@ blocks of bounded size.
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import timezone
 from hashlib import sha256
 
 import pyarrow as pa
@@ -42,6 +42,31 @@ def is_hidden(path: str) -> bool:
     return path.rsplit("/", 1)[-1].startswith((".", "_"))
 
 
+def entries(store, path: str) -> Iterator[tuple[str, bool | None, int, int]]:
+    """What lies in a folder: path, whether it is a folder (NULL: neither folder nor file), stamp in microseconds, size.
+
+    A local folder is read entry by entry, so its number of files does not matter.
+    """
+    from pyarrow import fs
+
+    if not isinstance(store, fs.LocalFileSystem):
+        for entry in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            kind = {fs.FileType.Directory: True, fs.FileType.File: False}.get(entry.type)
+            yield entry.path, kind, (entry.mtime_ns or 0) // 1000, entry.size
+        return
+    try:
+        with os.scandir(path) as found:
+            for entry in found:
+                try:
+                    told = entry.stat()
+                except FileNotFoundError:
+                    continue
+                kind = True if entry.is_dir() else False if entry.is_file() else None
+                yield f"{path.rstrip('/')}/{entry.name}", kind, told.st_mtime_ns // 1000, told.st_size
+    except FileNotFoundError:
+        return
+
+
 @dataclass
 class Folder(InputPartition):
     """A folder that one task lists: with all folders below it, or its own files only."""
@@ -52,24 +77,19 @@ class Folder(InputPartition):
 
 def dealt_folders(root: str, levels: int) -> list[Folder]:
     """The folders `levels` below the root, each to be listed as a whole, and those above them."""
-    from pyarrow import fs
-
     store, top = opened_store(root)
     found, now = [], [top]
     for _ in range(levels):
         found += [Folder(path, False) for path in now]
         below = []
         for path in now:
-            entries = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-            below += [e.path for e in entries if e.type == fs.FileType.Directory and not is_hidden(e.path)]
+            below += [name for name, is_folder, _, _ in entries(store, path) if is_folder and not is_hidden(name)]
         now = below
     return found + [Folder(path, True) for path in now]
 
 
 def listed_rows(root: str, folder: Folder) -> Iterator[pa.RecordBatch]:
     """The files of a folder, as rows of the listing."""
-    from pyarrow import fs
-
     store, _ = opened_store(root)
     scheme = root.split("://", 1)[0] + "://" if "://" in root else ""
     todo, rows = [folder.path], []
@@ -80,13 +100,13 @@ def listed_rows(root: str, folder: Folder) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     while todo:
-        for entry in store.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)):
-            if is_hidden(entry.path):
+        for path, is_folder, modified, size in entries(store, todo.pop()):
+            if is_hidden(path):
                 continue
-            if entry.type == fs.FileType.Directory:
-                todo += [entry.path] if folder.deep else []
-            elif entry.type == fs.FileType.File:
-                rows.append((scheme + entry.path, entry.mtime.astimezone(timezone.utc), entry.size))
+            if is_folder:
+                todo += [path] if folder.deep else []
+            elif is_folder is False:
+                rows.append((scheme + path, modified, size))
                 if len(rows) == BATCH_ROWS:
                     yield batch()
                     rows = []
@@ -95,11 +115,11 @@ def listed_rows(root: str, folder: Folder) -> Iterator[pa.RecordBatch]:
 
 
 class ListingReader(DataSourceReader):
-    def __init__(self, root: str, levels: int):
-        self.root, self.levels = root, levels
+    def __init__(self, root: str, levels: int, deep: bool):
+        self.root, self.levels, self.deep = root, levels, deep
 
     def partitions(self) -> list[Folder]:
-        return dealt_folders(self.root, self.levels)
+        return dealt_folders(self.root, self.levels) if self.deep else [Folder(opened_store(self.root)[1], False)]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         return listed_rows(self.root, partition)
@@ -128,7 +148,8 @@ class PolledListing(DataSourceStreamReader):
 
 
 class ListedFiles(DataSource):
-    """Options: path (the root) and levels (how many folder levels the driver lists to deal the rest)."""
+    """Options: path (the root), levels (how many folder levels the driver lists to deal the rest), deep (in batch; "false": the
+    root's own files, listed by one task and none by the driver)."""
 
     @classmethod
     def name(cls) -> str:
@@ -141,7 +162,7 @@ class ListedFiles(DataSource):
         return self.options["path"].rstrip("/"), int(self.options.get("levels", FOLDER_LEVELS))
 
     def reader(self, schema) -> ListingReader:
-        return ListingReader(*self._place())
+        return ListingReader(*self._place(), self.options.get("deep", "true") == "true")
 
     def streamReader(self, schema) -> PolledListing:
         return PolledListing(*self._place())
@@ -153,6 +174,12 @@ def listed(spark: SparkSession, root: str, levels: int = FOLDER_LEVELS) -> DataF
     return spark.read.format(FORMAT).option("levels", levels).load(root)
 
 
+def own_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that lie in a folder itself; the driver lists none of them, however many there are."""
+    spark.dataSource.register(ListedFiles)
+    return spark.read.format(FORMAT).option("deep", "false").load(folder)
+
+
 def polled(spark: SparkSession, root: str, levels: int = FOLDER_LEVELS) -> DataFrame:
     """The same as a stream; each micro-batch is the listing of one poll."""
     spark.dataSource.register(ListedFiles)
@@ -257,6 +284,38 @@ def file_lines(files: DataFrame) -> DataFrame:
     return files.mapInArrow(lines, _carried(files, carried) + "value string")
 
 
+def file_texts(files: DataFrame) -> DataFrame:
+    """The columns of `files` with `value`, the whole text of each; for documents, which are small. A file that is gone gives no row."""
+    carried = list(files.columns)
+    dealt = files.repartition(reading_tasks(files), "path")
+    at = carried.index("path")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, held = [], [], 0
+
+            def read_so_far() -> pa.RecordBatch:
+                kept = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(len(carried))]
+                return pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string())], names=[*carried, "value"])
+
+            for row, name in enumerate(batch.column(at).to_pylist()):
+                store, path = opened_store(name)
+                try:
+                    with store.open_input_stream(path, compression=None) as file:
+                        text = file.read()
+                except FileNotFoundError:
+                    continue
+                rows.append(row)
+                found.append(text.decode("utf-8", "replace"))
+                held += len(text)
+                if held >= BLOCK_BYTES:
+                    yield read_so_far()
+                    rows, found, held = [], [], 0
+            yield read_so_far()
+
+    return dealt.mapInArrow(texts, _carried(dealt, carried) + "value string")
+
+
 def text_lines(store, path: str) -> Iterator[list[str]]:
     """Groups of the lines of a file; bytes that are no text are replaced."""
     held = b""

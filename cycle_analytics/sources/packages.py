@@ -9,6 +9,9 @@ from cycle_analytics import schemas
 from cycle_analytics.functions.clock import DEFAULT_ZONE, instant
 from cycle_analytics.functions.documents import COMPONENTS, manifest_summary
 from cycle_analytics.operators.integrity import CHECKSUM_FILE, MANIFEST_FILE, checksum_lines, content_digest
+from cycle_analytics.operators.requests import unclaimed
+from cycle_analytics.session import written
+from cycle_analytics.sources import listing
 
 _PLACE = r"/([^/]+)/([^/]+)/(.+)$"
 
@@ -93,16 +96,29 @@ def catalog_documents(
     )
 
 
+def _named(found: DataFrame, ending: str) -> DataFrame:
+    """request_id and path of the files of a listing that end so."""
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return found.where(name.endswith(ending)).select(F.substring(name, F.lit(1), F.length(name) - len(ending)).alias("request_id"), "path", "bytes")
+
+
+def _bodies(found: DataFrame) -> DataFrame:
+    return listing.file_texts(found).select("request_id", F.col("value").alias("body"))
+
+
 def request_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Request files as (request_id, body), for batch use."""
-    df = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    return df.select(name.alias("request_id"), F.col("value").alias("body"))
+    """Request files as (request_id, body), for batch use. They are listed and read by tasks."""
+    return _bodies(written(_named(listing.own_files(spark, folder), ".json"), "request-listing"))
 
 
 def done_markers(spark: SparkSession, folder: str) -> DataFrame:
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.done").load(folder)
-    return df.select(F.regexp_extract("path", r"([^/]+)\.done$", 1).alias("request_id"))
+    return _named(listing.own_files(spark, folder), ".done").select("request_id")
+
+
+def open_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Request files without a done marker, as (request_id, body). The folder is listed once, and only open ones are read."""
+    found = written(listing.own_files(spark, folder), "request-listing")
+    return _bodies(written(unclaimed(_named(found, ".json"), _named(found, ".done")), "open-requests"))
 
 
 def service_log(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cycle_analytics.sources.listing import opened_store
+from cycle_analytics.session import tasks_for
+from cycle_analytics.sources.listing import TASK_BYTES, opened_store
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -46,7 +47,8 @@ def assembled_files(chunks: DataFrame, root: str, path: str = "path", order: str
     The frame must be written or counted for the files to appear; done twice it writes the same files again.
     """
     placed = chunks.select(F.col(path).alias("path"), F.col(order).alias("no"), F.col(content).alias("chunk"))
-    lined = placed.repartition("path").sortWithinPartitions("path", "no")
+    # Many small files are few bytes, of which Spark would make a single task.
+    lined = placed.repartition(tasks_for(placed, TASK_BYTES), "path").sortWithinPartitions("path", "no")
     base = root.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import crypto
 from cycle_analytics.operators import ledger
-from cycle_analytics.sources import listing, sinks
+from cycle_analytics.sources import listing, packages, sinks
 from cycle_analytics.streaming import passes
 from tests.test_sources import package, write
 
@@ -63,6 +63,24 @@ def test_files_are_put_together_in_order(spark, tmp_path):
         assert (tmp_path / "out" / "d" / "e" / "z").read_bytes() == b"ab"
 
 
+def test_small_files_are_written_and_read_by_many_tasks(spark, tmp_path):
+    chunks = spark.range(40).select(
+        F.concat(F.lit("in/"), F.col("id").cast("string"), F.when(F.col("id") % 4 == 0, ".done").otherwise(".json")).alias("path"),
+        F.lit(0).alias("chunk_no"), F.col("id").cast("string").cast("binary").alias("chunk"),
+    )
+    made = sinks.assembled_files(chunks, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(made) == 40 and len({r.task for r in made}) > 1
+    write(tmp_path / "in" / "1.done", b"ok")
+    write(tmp_path / "in" / "deeper" / "99.json", b"99")
+    folder = str(tmp_path / "in")
+    left = {str(k): str(k) for k in range(40) if k % 4 and k != 1}
+    assert {r.request_id: r.body for r in packages.open_requests(spark, folder).collect()} == left
+    batch = packages.request_documents(spark, folder)
+    # The driver holds no list of the request files.
+    assert batch.count() == 30 and not [p for p in batch.inputFiles() if p.endswith(".json")]
+    assert listing.ListedFiles({"path": folder, "deep": "false"}).reader(None).partitions() == [listing.Folder(folder, False)]
+
+
 @pytest.fixture
 def polls(spark, tmp_path):
     store, ring = passes.new_store(spark, str(tmp_path / "store")), crypto.key_ring(spark, key=KEY)
