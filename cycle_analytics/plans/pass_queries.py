@@ -272,7 +272,7 @@ def package_readiness_scan(spark, root):
     """Packages as files, some altered: their lists, their contents, and which are ready."""
     base = new_folder(spark, "ready-packages")
     put_files(package_chunks(spark, root, F.col("doc_id") % 97 == 0), base)
-    found = written(packages.files(spark, base).drop("content"), "package-files")
+    found = written(packages.digested_files(spark, base), "package-files")
     judged = integrity.readiness(found, packages.checksum_lists(spark, base))
     return judged.select(*KEY, "files_ok", "files_failed", "ready")
 

@@ -10,9 +10,10 @@ from cycle_analytics.functions.clock import DEFAULT_ZONE, instant
 from cycle_analytics.functions.documents import COMPONENTS, manifest_summary
 from cycle_analytics.operators.integrity import CHECKSUM_FILE, MANIFEST_FILE, checksum_lines, content_digest
 from cycle_analytics.operators.requests import unclaimed
-from cycle_analytics.session import written
+from cycle_analytics.session import tasks_for, written
 from cycle_analytics.sources import listing
 
+_FILE = ["chain_v", "cycle_id", "rel_path"]
 _PLACE = r"/([^/]+)/([^/]+)/(.+)$"
 
 
@@ -46,9 +47,15 @@ def files(spark: SparkSession, root: str, with_content: bool = True) -> DataFram
     return placed.select(*columns)
 
 
+def digested_files(spark: SparkSession, root: str) -> DataFrame:
+    """The same files without content: listed by tasks, and read by them block by block. A file of any size will do."""
+    found = written(listing.listed(spark, root), "package-listing")
+    return listing.file_digests(placed_files(found, root)).select(*_FILE, "bytes", "actual_sha256")
+
+
 def cycles(spark: SparkSession, root: str) -> DataFrame:
     """Chains and cycles present, with file counts and bytes; file contents are not read."""
-    return files(spark, root, with_content=False).groupBy("chain_v", "cycle_id").agg(
+    return placed_files(listing.listed(spark, root), root).groupBy("chain_v", "cycle_id").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes")
     )
 
@@ -77,12 +84,10 @@ def manifest_stamps(manifest_df: DataFrame, zone: str = DEFAULT_ZONE) -> DataFra
 
 
 def checksum_lists(spark: SparkSession, root: str) -> DataFrame:
-    """Expected digests of all packages."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", CHECKSUM_FILE).text(root)
-    placed = placed_files(df.withColumn("_path", F.col("_metadata.file_path")), root, "_path")
-    return checksum_lines(placed.select("chain_v", "cycle_id", "value")).select(
-        "chain_v", "cycle_id", "rel_path", "expected_sha256"
-    )
+    """Expected digests of all packages; only the lists are read, each by one task."""
+    lists = listing.listed(spark, root).where(F.col("path").endswith(f"/{CHECKSUM_FILE}"))
+    dealt = placed_files(lists, root).repartition(tasks_for(lists, listing.TASK_BYTES), "path")
+    return checksum_lines(listing.file_lines(dealt.select("path", "chain_v", "cycle_id")).drop("path")).select(*_FILE, "expected_sha256")
 
 
 def catalog_documents(

@@ -81,6 +81,17 @@ def test_small_files_are_written_and_read_by_many_tasks(spark, tmp_path):
     assert listing.ListedFiles({"path": folder, "deep": "false"}).reader(None).partitions() == [listing.Folder(folder, False)]
 
 
+def test_packages_are_read_without_a_list_on_the_driver(spark, tmp_path):
+    for name, data in (("a.txt", b"a" * 3000), (packages.CHECKSUM_FILE, hashlib.sha256(b"a" * 3000).hexdigest().encode() + b"  a.txt\r\n")):
+        write(tmp_path / "v1" / "c1" / name, data)
+    found, lists = packages.digested_files(spark, str(tmp_path)), packages.checksum_lists(spark, str(tmp_path))
+    assert {r.rel_path: r.bytes for r in found.collect()} == {"a.txt": 3000, packages.CHECKSUM_FILE: 73}
+    expected = {r.rel_path: r.expected_sha256 for r in lists.collect()}
+    assert expected == {"a.txt": hashlib.sha256(b"a" * 3000).hexdigest()}
+    assert {r.actual_sha256 for r in found.where("rel_path = 'a.txt'").collect()} == set(expected.values())
+    assert not [p for df in (found, lists) for p in df.inputFiles() if "/v1/" in p]
+
+
 @pytest.fixture
 def polls(spark, tmp_path):
     store, ring = passes.new_store(spark, str(tmp_path / "store")), crypto.key_ring(spark, key=KEY)
