@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cycle_analytics.operators.ordered import same_keys
@@ -52,14 +52,16 @@ def span_stats(
     width_seconds: float = 3600.0,
     bucket_rows: int = BUCKET_ROWS,
     split: bool | None = None,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Add `n_samples`, `max_value` and `avg_value` of the samples in each span.
 
-    Bounds are both closed or both open. Spans without samples stay, with 0 and NULL.
+    Bounds are both closed or both open. Spans without samples stay, with 0 and NULL. `bounds` has the spans' ids and
+    times where they are had without what `spans` carries besides.
     """
     keys = keys or []
     lo, hi = micros(start), micros(end)
-    ranges = spans.select(
+    ranges = (spans if bounds is None else bounds).select(
         F.col(span_id).alias("_span"),
         *keys,
         (lo if closed else lo + 1).alias("_lo"),
@@ -72,7 +74,11 @@ def span_stats(
         split = not is_small(points)
     width, levels = max(1, int(width_seconds * 1_000_000)), LEVELS
     if split:
-        width, levels = _fitting_grid(ranges, points, keys, width)
+        # Written, because the grids read both several times.
+        points = written(points, "samples")
+        seen = _extent(points, keys)
+        ranges = written(_within(ranges, seen), "span-ranges")
+        width, levels = _fitting_grid(ranges, seen, width)
     parts = reduce(DataFrame.unionByName, _partials(ranges, points, keys, width, levels, bucket_rows, split))
     stats = parts.groupBy("_span").agg(
         F.sum("_n").alias("n_samples"),
@@ -114,10 +120,22 @@ def window_peak_after(
     return stats
 
 
-def _fitting_grid(ranges: DataFrame, points: DataFrame, keys: list[str], widest: int) -> tuple[int, int]:
-    """Bucket width for a few samples per bucket, and levels up to the longest span."""
+def _extent(points: DataFrame, keys: list[str]) -> Row:
+    """Number of the samples, their first and last time, and about how many groups they have."""
     groups = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
-    seen = points.agg(F.count("_t").alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"), groups.alias("groups")).first()
+    return points.agg(F.count("_t").alias("n"), F.min("_t").alias("lo"), F.max("_t").alias("hi"), groups.alias("groups")).first()
+
+
+def _within(ranges: DataFrame, seen: Row) -> DataFrame:
+    """Ranges as far as there are samples at all: what lies before or after them is not cut into pieces."""
+    if not seen["n"]:
+        return ranges.limit(0)
+    clipped = {"_lo": F.greatest("_lo", F.lit(seen["lo"])), "_hi": F.least("_hi", F.lit(seen["hi"] + 1))}
+    return ranges.withColumns(clipped).where(F.col("_lo") < F.col("_hi"))
+
+
+def _fitting_grid(ranges: DataFrame, seen: Row, widest: int) -> tuple[int, int]:
+    """Bucket width for a few samples per bucket, and levels up to the longest span."""
     longest = ranges.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
     width = widest
     if seen["n"]:

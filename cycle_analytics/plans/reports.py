@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cycle_analytics.functions import clock, derive, text
 from cycle_analytics.operators import asof, frequency, grid, integrity, intervals, sequence, significance
+from cycle_analytics.session import is_small, written
 
 BACKUP_ORDER = ["ended_at", "cycle_id"]
 
@@ -272,10 +273,12 @@ def resource_stats(
         F.col(duration).alias("duration_s"),
         clock.span_start(F.col("ended_at"), F.col(duration)).alias("start"), F.col("ended_at").alias("end"),
     )
-    margin = clock.seconds(F.lit(margin_seconds))
+    if not is_small(out):
+        out = written(out, "event-spans")
+    margin, bounds = clock.seconds(F.lit(margin_seconds)), out
     for metric, (frame, value) in samples.items():
         out = intervals.span_stats(
-            out, frame, "name", F.col("start") - margin, F.col("end") + margin, "ts", value, width_seconds=600
+            out, frame, "name", F.col("start") - margin, F.col("end") + margin, "ts", value, width_seconds=600, bounds=bounds
         ).withColumnsRenamed(
             {"n_samples": f"{metric}_n", "max_value": f"{metric}_max", "avg_value": f"{metric}_avg"}
         )

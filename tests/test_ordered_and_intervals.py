@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cycle_analytics.operators.asof import asof_peak, latest_before, state_label
-from cycle_analytics.operators.intervals import span_stats, window_peak_after
+from cycle_analytics.operators.intervals import _extent, _within, span_stats, window_peak_after
 from cycle_analytics.operators.ordered import block_count, number, peak, previous, running, total
 from cycle_analytics.operators.sequence import counter_rate, oldest_n, prefix_ok, replay_prefix
 
@@ -54,6 +54,14 @@ def test_blocks_follow_what_is_read_not_the_product_of_joins(spark):
     assert block_count(joined) == block_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_spans_are_cut_only_where_samples_are(spark):
+    ranges = spark.createDataFrame([(1, 0, 50), (2, 90, 120), (3, 100, 900), (4, 201, 300)], "_span int, _lo bigint, _hi bigint")
+    points = spark.createDataFrame([(100, 1.0), (200, 2.0)], "_t bigint, _v double")
+    kept = _within(ranges, _extent(points, []))
+    assert sorted(tuple(r) for r in kept.collect()) == [(2, 100, 120), (3, 100, 201)]
+    assert _within(ranges, _extent(points.limit(0), [])).count() == 0
+
+
 @pytest.mark.parametrize("split,bucket_rows", [(False, 10), (True, 5)])
 @pytest.mark.parametrize("closed", [True, False])
 def test_span_stats_agree_with_brute_force(spark, split, bucket_rows, closed):
