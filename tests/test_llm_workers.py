@@ -1,10 +1,11 @@
-"""What the training-data operators ask of the library."""
+"""What the training-data operators ask of the library and hold in a worker."""
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from cycle_analytics.llm import packing  # noqa: E402
+from cycle_analytics.llm import common, near_dup, packing  # noqa: E402
 
 
 def test_signs_after_known_words_are_not_looked_up_again(monkeypatch):
@@ -16,3 +17,29 @@ def test_signs_after_known_words_are_not_looked_up_again(monkeypatch):
     words = " ".join(asked).split()
     assert words.count("ingingha") == 1 and words.count("tishhe") == 1
     assert not any(w.startswith(("ingingha", "tishhe")) and not w.isalpha() for w in words)
+
+
+def test_a_worker_holds_what_one_operator_remembers():
+    packing.encoder(packing.default_vocabulary())
+    near_dup.hash_of(b"word")
+    list(common.freed(lambda batches: batches, "near_dup")(iter(())))
+    assert packing.encoder.cache_info().currsize == 0 and near_dup.word_hashes
+    list(common.freed(lambda batches: batches, "packing")(iter(())))
+    assert not near_dup.word_hashes
+
+
+@pytest.mark.parametrize("level", [0, 2])
+def test_blocks_are_compared_in_stripes(level, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**32 - 1, 900, dtype=np.uint64) << np.uint64(8)
+    sets = [np.unique(np.concatenate([base[k % 7 * 5:], rng.integers(0, 2**63, 40 * (k % 9), dtype=np.uint64)])) for k in range(40)]
+    n, rows = np.array([len(s) for s in sets]), list(range(40))
+    found = {}
+    for stripe, columns in ((7, 64), (1000, 4096)):
+        monkeypatch.setattr(near_dup, "STRIPE", stripe)
+        monkeypatch.setattr(near_dup, "COLUMNS", columns)
+        found[stripe] = near_dup.sampled_pairs(rows[:30], rows, n, level, sets, 80)
+    assert found[7] == found[1000]
+    if level == 0:
+        sizes = [[len(np.intersect1d(sets[i], sets[j])) for j in rows] for i in rows]
+        assert [p for p in found[7] if p[0] != p[1]] == [(i, j) for i in rows[:30] for j in rows if i != j and 100 * sizes[i][j] >= 80 * (n[i] + n[j] - sizes[i][j])]
