@@ -1,8 +1,8 @@
 """Running values over an ordered group, for groups of any size.
 
 A window keyed by chain, host or user puts each group in one task. That is right
-while groups are small. A group above `hot_rows` rows (and every group when there
-is no key at all) takes a second way:
+while groups are small. A group above `hot_rows` rows - fewer, the wider the rows
+are - (and every group when there is no key at all) takes a second way:
 
 1. range-partition the rows by (keys, order), so that a group spans many blocks;
 2. run the window inside each (group, block);
@@ -65,12 +65,17 @@ def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     return counts.where(F.col("_n") > hot_rows).drop("_n")
 
 
+def hot_limit(df: DataFrame) -> int:
+    """Rows of a group that are left to one task: what a block holds of rows of this width."""
+    return min(HOT_ROWS, max(1, BLOCK_BYTES // df._jdf.schema().defaultSize()))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     measures: dict[str, Measure],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     split: bool | None = None,
 ) -> DataFrame:
     """Add the running `measures` to `df`.
@@ -85,7 +90,7 @@ def running(
         return _in_groups(staged, keys, order, measures)
     if not keys:
         return _in_blocks(staged, keys, order, measures)
-    hot = written(hot_groups(df, keys, hot_rows), "hot-groups")
+    hot = written(hot_groups(df, keys, hot_rows or hot_limit(staged)), "hot-groups")
     if hot.isEmpty():
         return _in_groups(staged, keys, order, measures)
     cold_rows = staged.join(hot, same_keys(staged, hot, keys), "left_anti")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from cycle_analytics.operators import ordered
 from cycle_analytics.operators.asof import asof_peak, latest_before, state_label
 from cycle_analytics.operators.intervals import _extent, _within, span_stats, window_peak_after
 from cycle_analytics.operators.ordered import block_count, number, peak, previous, running, total
@@ -165,3 +166,17 @@ def test_grids_in_blocks_are_whole(spark, monkeypatch):
     got = sorted((r.k, r.slot.isoformat()) for r in grid.regular_grid(bounds, "lo", "hi", 42, ["k"]).collect())
     want = bounds.where("lo <= hi").selectExpr("k", "explode(sequence(lo, hi, interval 42 seconds)) AS slot").collect()
     assert got == sorted((r.k, r.slot.isoformat()) for r in want) and len(got) == 16
+
+
+def test_wide_rows_make_a_group_hot_earlier(spark, monkeypatch):
+    rows = spark.range(4000).select(
+        (F.col("id") % 3).alias("k"), "id", *[(F.col("id") * j).cast("double").alias(f"v{j}") for j in range(40)]
+    )
+    assert ordered.hot_limit(rows) < ordered.hot_limit(rows.select("k", "id")) <= ordered.HOT_ROWS
+    monkeypatch.setattr(ordered, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(ordered, "is_small", lambda df: False)
+    blocked = []
+    in_blocks = ordered._in_blocks
+    monkeypatch.setattr(ordered, "_in_blocks", lambda *a: blocked.append(1) or in_blocks(*a))
+    found = ordered.running(rows, ["k"], ["id"], {"n": ordered.number()}).select("id", "n").collect()
+    assert blocked and {(r["id"], r["n"]) for r in found} == {(i, i // 3 + 1) for i in range(4000)}
