@@ -19,6 +19,24 @@ def test_signs_after_known_words_are_not_looked_up_again(monkeypatch):
     assert not any(w.startswith(("ingingha", "tishhe")) and not w.isalpha() for w in words)
 
 
+def test_ids_of_many_texts_are_the_library_s_and_parts_of_chunks_are_looked_up_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    asked, direct = [], encoder.direct
+    monkeypatch.setattr(encoder, "direct", lambda text: asked.append(text) or direct(text))
+    signs = ["".join(chr(c) for c in (a, b)) for a in (*range(1, 0x100), 0x2014, 0x2019, 0x201C, 0x20AC) for b in (0x27, 0x2C, 0x61, 0xE9, 0xD7, 0xA0)]
+    texts = [
+        "\nline\n", "12345 @", "ingingha,tishhe;ingingha.tishhe-ingingha", "", " ", "Straße,ÉCOLE.", "a\u00d7.b \u00f7, \u201c.x\u201d,", "it's,'s'", "\t\x85,\xa0.\n",
+        "<|endoftext|>, x", "\u0130stanbul, x", "cafe\u0301, x", "\u4e2d,\u6587", "a" * 70_000 + ".", *[f"wo{s}rd{s}, {s}" for s in signs],
+    ]
+    assert encoder.all_ids(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+    # No text crosses into another, and a word is asked for once whatever signs surround it.
+    words = " ".join(asked).split()
+    assert words.count("ingingha") == 1 and words.count("tishhe") == 1 and not any("ingingha," in w for w in words)
+    assert encoder.all_ids(["", texts[2]]) == [b"", direct(texts[2]).tobytes()]
+
+
 def test_a_worker_holds_what_one_operator_remembers():
     packing.encoder(packing.default_vocabulary())
     near_dup.hash_of(b"word")
