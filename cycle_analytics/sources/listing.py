@@ -216,21 +216,34 @@ def file_parts(files: DataFrame, part_bytes: int = PART_BYTES, near: list[str] |
     tasks = reading_tasks(files)
     spread = ranges.repartitionByRange(tasks, *near, "chunk_no") if near else ranges.repartition(tasks, "path", "chunk_no")
     dealt = spread.select(*carried, "size")
-    at = {c: k for k, c in enumerate(dealt.columns)}
+    return dealt.mapInArrow(lambda batches: read_ranges(batches, carried), _carried(dealt, carried) + "chunk binary")
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                store, path = opened_store(batch.column(at["path"])[row].as_py())
-                try:
-                    with store.open_input_file(path) as file:
-                        chunk = file.read_at(batch.column(at["size"])[row].as_py(), batch.column(at["begin"])[row].as_py())
-                except FileNotFoundError:
-                    continue
-                kept = [batch.column(at[c]).slice(row, 1) for c in carried]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([chunk], pa.binary())], names=[*carried, "chunk"])
 
-    return dealt.mapInArrow(read, _carried(dealt, carried) + "chunk binary")
+def read_ranges(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns `carried` (path and begin among them) and what each range (with size) holds, many small ranges in one batch."""
+    for batch in batches:
+        rows, chunks, held = [], [], 0
+
+        def read_so_far() -> pa.RecordBatch:
+            kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in carried]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(chunks, pa.binary())], names=[*carried, "chunk"])
+
+        wanted = [batch.column(c).to_pylist() for c in ("path", "begin", "size")]
+        for row, (name, begin, size) in enumerate(zip(*wanted)):
+            store, path = opened_store(name)
+            try:
+                with store.open_input_file(path) as file:
+                    chunk = file.read_at(size, begin)
+            except FileNotFoundError:
+                continue
+            rows.append(row)
+            chunks.append(chunk)
+            held += len(chunk)
+            if held >= BLOCK_BYTES:
+                yield read_so_far()
+                rows, chunks, held = [], [], 0
+        if rows:
+            yield read_so_far()
 
 
 def file_digests(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

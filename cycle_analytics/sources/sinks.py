@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cycle_analytics.session import tasks_for
-from cycle_analytics.sources.listing import TASK_BYTES, opened_store
+from cycle_analytics.sources.listing import BATCH_ROWS, TASK_BYTES, opened_store
+
+WRITTEN = "path string, bytes bigint, sha256 string"
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -50,37 +52,48 @@ def assembled_files(chunks: DataFrame, root: str, path: str = "path", order: str
     # Many small files are few bytes, of which Spark would make a single task.
     lined = placed.repartition(tasks_for(placed, TASK_BYTES), "path").sortWithinPartitions("path", "no")
     base = root.rstrip("/")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = opened_store(base)
-        now, at, file, told, size, made = None, None, None, None, 0, set()
-
-        def finished() -> pa.RecordBatch:
-            file.close()
-            store.move(f"{top}/{hidden}", f"{top}/{now}")
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now]), pa.array([size], pa.int64()), pa.array([told.hexdigest()])], names=["path", "bytes", "sha256"]
-            )
-
-        for batch in batches:
-            for name, number, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if name == now and number == at:
-                    continue
-                at = number
-                if name != now:
-                    if file is not None:
-                        yield finished()
-                    folder, _, leaf = name.rpartition("/")
-                    if folder not in made:
-                        store.create_dir(f"{top}/{folder}", recursive=True)
-                        made.add(folder)
-                    hidden = f"{folder}/.{leaf}-{uuid.uuid4().hex}"
-                    now, file, told, size = name, store.open_output_stream(f"{top}/{hidden}"), sha256(), 0
-                data = chunk.as_py() or b""
-                file.write(data)
-                told.update(data)
-                size += len(data)
-        if file is not None:
-            yield finished()
-
-    return lined.mapInArrow(write, "path string, bytes bigint, sha256 string")
+    return lined.mapInArrow(lambda batches: put_together(batches, base), WRITTEN)
+
+
+def put_together(batches: Iterator[pa.RecordBatch], base: str) -> Iterator[pa.RecordBatch]:
+    """Write the files of sorted chunk rows (path, no, chunk), and tell of many in one batch: a batch costs as much as a file."""
+    store, top = opened_store(base)
+    now, at, file, told, size, made = None, None, None, None, 0, set()
+    rows: list[tuple[str, int, str]] = []
+
+    def finished() -> None:
+        file.close()
+        store.move(f"{top}/{hidden}", f"{top}/{now}")
+        rows.append((now, size, told.hexdigest()))
+
+    def batch_of_rows() -> pa.RecordBatch:
+        paths, sizes, digests = zip(*rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(paths), pa.array(sizes, pa.int64()), pa.array(digests)], names=["path", "bytes", "sha256"]
+        )
+
+    for batch in batches:
+        for name, number, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if name == now and number == at:
+                continue
+            at = number
+            if name != now:
+                if file is not None:
+                    finished()
+                if len(rows) == BATCH_ROWS:
+                    yield batch_of_rows()
+                    rows.clear()
+                folder, _, leaf = name.rpartition("/")
+                if folder not in made:
+                    store.create_dir(f"{top}/{folder}", recursive=True)
+                    made.add(folder)
+                hidden = f"{folder}/.{leaf}-{uuid.uuid4().hex}"
+                now, file, told, size = name, store.open_output_stream(f"{top}/{hidden}"), sha256(), 0
+            data = chunk.as_py() or b""
+            file.write(data)
+            told.update(data)
+            size += len(data)
+    if file is not None:
+        finished()
+    if rows:
+        yield batch_of_rows()

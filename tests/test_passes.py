@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,24 @@ def test_manifest_reaches_the_catalog(spark, tmp_path, polls):
     poll()
     row = store.read("catalog").first()
     assert row.n_files == 3 and row.manifest_summary is not None
+
+
+def test_many_small_files_are_told_and_read_in_few_batches(tmp_path):
+    n, base = 3 * listing.BATCH_ROWS // 2, str(tmp_path)
+    names = [f"c/{k:05}.txt" for k in range(n)]
+    rows = pa.RecordBatch.from_pydict({"path": names + names[-1:], "no": [0] * n + [1], "chunk": [b"%d" % k for k in range(n)] + [b"!"]})
+    told = list(sinks.put_together(iter([rows.slice(0, 100), rows.slice(100)]), base))
+    assert [batch.num_rows for batch in told] == [listing.BATCH_ROWS, n - listing.BATCH_ROWS]
+    table = pa.Table.from_batches(told).to_pydict()
+    assert table["path"] == names and table["bytes"][-1] == len(b"%d" % (n - 1)) + 1 and list(sinks.put_together(iter([]), base)) == []
+    assert table["sha256"][7] == hashlib.sha256(b"7").hexdigest() and (tmp_path / names[-1]).read_bytes() == b"%d!" % (n - 1)
+
+    places = [f"{base}/{name}" for name in names]
+    asked = pa.RecordBatch.from_pydict({"path": [*places, f"{base}/gone"], "begin": [0] * (n + 1), "size": [1] * (n + 1)})
+    (read,) = listing.read_ranges(iter([asked]), ["path", "begin"])
+    assert read.column("path").to_pylist() == places and read.column("chunk").to_pylist() == [b"%d" % (k // 10 ** (len(str(k)) - 1)) for k in range(n)]
+    with open(f"{base}/large", "wb") as file:
+        file.write(b"x" * 5 * listing.BLOCK_BYTES)
+    size = listing.BLOCK_BYTES
+    asked = pa.RecordBatch.from_pydict({"path": [f"{base}/large"] * 5, "begin": [k * size for k in range(5)], "size": [size] * 5})
+    assert [batch.num_rows for batch in listing.read_ranges(iter([asked]), ["path", "begin"])] == [1] * 5
