@@ -5,7 +5,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from cycle_analytics.llm import common, near_dup, packing  # noqa: E402
+from cycle_analytics.llm import common, near_dup, packing, repeats  # noqa: E402
 
 
 def test_signs_after_known_words_are_not_looked_up_again(monkeypatch):
@@ -61,3 +61,18 @@ def test_blocks_are_compared_in_stripes(level, monkeypatch):
     if level == 0:
         sizes = [[len(np.intersect1d(sets[i], sets[j])) for j in rows] for i in rows]
         assert [p for p in found[7] if p[0] != p[1]] == [(i, j) for i in rows[:30] for j in rows if i != j and 100 * sizes[i][j] >= 80 * (n[i] + n[j] - sizes[i][j])]
+
+
+def test_a_task_that_lists_spans_of_words_has_one_python_step(spark, monkeypatch):
+    plans, written = {}, repeats.written
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, purpose)
+
+    monkeypatch.setattr(repeats, "written", noted)
+    shared = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, f"a {shared} b"), (2, f"c  {shared}\td"), (3, "e"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs, words=51).collect()}
+    assert got == {1: "a  b", 2: "c  \td", 3: "e", 4: None}
+    assert {purpose: plans[purpose].count("MapInArrow") for purpose in ("spans", "span-bytes")} == {"spans": 1, "span-bytes": 1}
