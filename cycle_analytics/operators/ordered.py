@@ -23,6 +23,8 @@ from cycle_analytics.session import is_small, tasks_for, written
 
 HOT_ROWS = 5_000_000
 BLOCK_BYTES = 256 * 1024 * 1024
+# What a task of whole groups has of the files: in memory, as rows of a window or an aggregate, it is 30 times as much.
+GROUP_BYTES = 8 * 1024 * 1024
 _BLOCK = "_block"
 
 
@@ -91,11 +93,12 @@ def running(
     if not keys:
         return _in_blocks(staged, keys, order, measures)
     hot = written(hot_groups(df, keys, hot_rows or hot_limit(staged)), "hot-groups")
+    tasks = tasks_for(df, GROUP_BYTES)
     if hot.isEmpty():
-        return _in_groups(staged, keys, order, measures)
+        return _in_groups(staged, keys, order, measures, tasks)
     cold_rows = staged.join(hot, same_keys(staged, hot, keys), "left_anti")
     hot_rows_df = staged.join(hot, same_keys(staged, hot, keys), "left_semi")
-    return _in_groups(cold_rows, keys, order, measures).unionByName(
+    return _in_groups(cold_rows, keys, order, measures, tasks).unionByName(
         _in_blocks(hot_rows_df, keys, order, measures)
     )
 
@@ -113,8 +116,12 @@ def _windowed(name: str, measure: Measure, by: list[str], order: list[str]) -> C
     return F.lag(source).over(ranked)
 
 
-def _in_groups(df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure]) -> DataFrame:
-    out = df.select("*", *[_windowed(n, m, keys, order).alias(n) for n, m in measures.items()])
+def _in_groups(
+    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure], tasks: int | None = None
+) -> DataFrame:
+    """Plain windows. A number of tasks holds: left to itself Spark joins partitions by their compressed bytes."""
+    dealt = df.repartition(tasks, *keys) if tasks else df
+    out = dealt.select("*", *[_windowed(n, m, keys, order).alias(n) for n, m in measures.items()])
     return out.drop(*[f"_in_{n}" for n in measures])
 
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from cycle_analytics.operators import ordered
+from cycle_analytics.operators import ordered, sequence
 from cycle_analytics.operators.asof import asof_peak, latest_before, state_label
 from cycle_analytics.operators.intervals import _extent, _within, span_stats, window_peak_after
 from cycle_analytics.operators.ordered import block_count, number, peak, previous, running, total
@@ -180,3 +180,12 @@ def test_wide_rows_make_a_group_hot_earlier(spark, monkeypatch):
     monkeypatch.setattr(ordered, "_in_blocks", lambda *a: blocked.append(1) or in_blocks(*a))
     found = ordered.running(rows, ["k"], ["id"], {"n": ordered.number()}).select("id", "n").collect()
     assert blocked and {(r["id"], r["n"]) for r in found} == {(i, i // 3 + 1) for i in range(4000)}
+
+
+def test_whole_groups_are_dealt_by_what_is_read(spark, tmp_path, monkeypatch):
+    spark.range(20_000).select((F.col("id") % 997).alias("k"), "id").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(ordered, "GROUP_BYTES", ordered.tasks_for(df, 1) // 16, raising=False)
+    found = running(df, ["k"], ["id"], {"n": number()}, split=True)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 16
+    assert found.where((F.col("n") - 1) * 997 + F.col("k") != F.col("id")).isEmpty() and found.count() == 20_000
