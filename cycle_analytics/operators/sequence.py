@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cycle_analytics.functions.derive import busy_percent, pair_mean
 from cycle_analytics.operators.asof import asof_peak
 from cycle_analytics.operators.ordered import number, previous, running, total
+from cycle_analytics.session import is_small, written
+
+# Files of cycles that any task can hold.
+FEW_BYTES = 1024 * 1024
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "n", split: bool | None = None) -> DataFrame:
@@ -52,12 +56,25 @@ def replay_prefix(
 def _positions(
     wanted: DataFrame, cycles: DataFrame, chain: str, cycle_id: str, upto: str, split: bool | None
 ) -> DataFrame:
-    """Positions 1..`upto` of each wanted row, met with the numbered cycles."""
-    places = wanted.where(F.col(upto) >= 1).withColumn(
-        "replay_order", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(upto)))
-    )
-    asked = cycles.join(wanted.select(chain).distinct(), chain, "left_semi")
-    return numbered(asked, [chain], [cycle_id], "replay_order", split).join(places, [chain, "replay_order"])
+    """Positions 1..`upto` of each wanted row, met with the numbered cycles.
+
+    On large inputs wanted rows are computed once, though read twice, and of a chain only the cycles up to the furthest
+    position that is asked for are kept. Where these are few, as for a few chains, the positions are not dealt by them.
+    """
+    wanted = wanted.where(F.col(upto) >= 1)
+    large = not is_small(wanted)
+    if large:
+        wanted = written(wanted, "wanted")
+    places = wanted.withColumn("replay_order", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(upto))))
+    if not large:
+        asked = cycles.join(wanted.select(chain).distinct(), chain, "left_semi")
+        return numbered(asked, [chain], [cycle_id], "replay_order", split).join(places, [chain, "replay_order"])
+    asked = cycles.join(wanted.groupBy(chain).agg(F.max(upto).alias("_furthest")), chain)
+    placed = numbered(asked, [chain], [cycle_id], "replay_order", split)
+    reached = written(placed.where("replay_order <= _furthest").drop("_furthest"), "reached")
+    # Spark takes exploded rows for as few as they were before, and would broadcast them.
+    met = F.broadcast(reached) if is_small(reached, FEW_BYTES) else reached.hint("merge")
+    return met.join(places, [chain, "replay_order"])
 
 
 def cumulative(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, split: bool | None = None) -> DataFrame:

@@ -189,3 +189,25 @@ def test_whole_groups_are_dealt_by_what_is_read(spark, tmp_path, monkeypatch):
     found = running(df, ["k"], ["id"], {"n": number()}, split=True)
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 16
     assert found.where((F.col("n") - 1) * 997 + F.col("k") != F.col("id")).isEmpty() and found.count() == 20_000
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_large_requests_are_computed_once_and_meet_reached_cycles(spark, monkeypatch, few):
+    monkeypatch.setattr(sequence, "is_small", lambda df, limit=0: bool(limit), raising=False)
+    monkeypatch.setattr(sequence, "FEW_BYTES", few, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def asked(request):
+        seen.add(1)
+        return "a" if request % 3 else "c"
+
+    asked = asked.asNondeterministic()
+    cycles = spark.createDataFrame([(c, f"{i:04d}") for c in "ab" for i in range(50)], "chain string, id string")
+    requests = spark.range(40).select(
+        F.col("id").alias("request"), asked("id").alias("chain"), (F.col("id") % 5 * 20).alias("n")
+    )
+    got = oldest_n(cycles, requests, "chain", "id", "n", split=False).collect()
+    want = {(r, i + 1, f"{i:04d}") for r in range(40) if r % 3 for i in range(min(50, r % 5 * 20))}
+    assert {(r["request"], r["replay_order"], r["id"]) for r in got} == want and len(got) == len(want)
+    assert seen.value <= 40
