@@ -61,6 +61,21 @@ def test_every_token_is_packed_once_over_many_rounds(spark):
     assert found == {place: queues[q][k] for place, (q, k) in enumerate(stream)}
 
 
+def test_the_pipeline_packs_all_it_is_given(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(packing, "LEVEL", 4)
+    docs = [(k, "one two three four five " * (k % 60), "en", "abc"[k % 3], k) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    held, ids, windows = Counter(), {}, Counter()
+    for r in corpus_pipeline.STAGES[-1][1](spark, frame, "").collect():
+        held[r.doc_id] += r.length
+        ids[r.doc_id] = r.doc_tokens
+        windows[r.sequence_id] += r.length
+    assert ids.keys() == {k for k, *_ in docs} and held == ids
+    assert sorted(windows) == list(range(len(windows))) and len(windows) > 2 * packing.LEVEL
+    assert all(n == packing.WINDOW for k, n in windows.items() if k < len(windows) - 1)
+
+
 def test_no_join_over_rounds_is_broadcast(spark):
     queues = spark.createDataFrame([("=a", 10**6, 65536, 244)], "queue string, total long, weight long, last long")
     laid = packing.placed(packing.rounds_of(queues, packing.WINDOW), packing.WINDOW)
